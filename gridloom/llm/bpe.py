@@ -158,8 +158,11 @@ def compiled_pattern(pattern: str):
 
 
 def boundaries(pattern, text: str) -> list[int]:
-    """Where the matches of the pattern end."""
-    return [m.end() for m in pattern.finditer(text)]
+    """Where the matches of the pattern end, but for those that end in white space.
+
+    What ends elsewhere matches the same without the text behind it; a run of white space may not.
+    """
+    return [m.end() for m in pattern.finditer(text) if not text[m.end() - 1].isspace()]
 
 
 def _pretokenised(pattern: str):
