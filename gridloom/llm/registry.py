@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe
+from gridloom.llm import bpe, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_byte_bpe": bpe.op8_byte_bpe}
+    return {"op3_packing": packing.op3_packing, "op8_byte_bpe": bpe.op8_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
