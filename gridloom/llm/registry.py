@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, packing, topk
+from gridloom.llm import bpe, packing, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_packing": packing.op3_packing, "op6_topk": topk.op6_topk, "op8_byte_bpe": bpe.op8_byte_bpe}
+    return {"op3_packing": packing.op3_packing, "op4_toxicity": toxicity.op4_toxicity, "op6_topk": topk.op6_topk, "op8_byte_bpe": bpe.op8_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.OP6_SQL}
+    return {"op4_toxicity": toxicity.op4_toxicity, "op6_topk": topk.OP6_SQL}
