@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, packing, topk, toxicity
+from gridloom.llm import bpe, langid, packing, sharding, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_packing": packing.op3_packing, "op4_toxicity": toxicity.op4_toxicity, "op6_topk": topk.op6_topk, "op8_byte_bpe": bpe.op8_byte_bpe}
+    return {
+        "op2_sharding": sharding.op2_sharding,
+        "op3_packing": packing.op3_packing,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op6_topk": topk.op6_topk,
+        "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op10_langid": langid.op10_langid,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_toxicity": toxicity.op4_toxicity, "op6_topk": topk.OP6_SQL}
+    return {"op6_topk": topk.OP6_SQL}
