@@ -71,45 +71,51 @@ def _rolling(words: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     return out, word_of
 
 
-def _fold_words(batches: Iterator[pa.RecordBatch], classes: dict[int, int]) -> tuple[set[str], list[Counter]]:
-    every: set[str] = set()
-    own = [Counter(), Counter()]
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            words = tokens(text)
-            every.update(words)
-            if doc_id in classes:
-                own[classes[doc_id]].update(words)
-    return every, own
+_COUNTS = "kind int, gram int, context int, suffix int, suffix_context int, low int, low_context int, unit int, n long"
 
 
-_COUNTS = "kind int, gram int, context int, suffix int, suffix_context int, low int, low_context int, unit int, n long"
+#: Distinct words that a task gathers before it counts their n-grams.
+WORDS_AT_ONCE = 30_000
 
 
 def _counted(classes):
-    """n-gram counts of a partition: kind 0 and 1 for the classes, 2 for the shared types."""
-
-    def rows(kind: int, words: list[str], weights: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(words), 50_000):
-            keys, word_of = _rolling(words[a : a + 50_000])
+    """n-gram counts of a partition: kind 0 and 1 for the classes, 2 for the shared types, each of these once."""
+    names = [("g5", "h4", "g4", "h3", "g3", "h2", "g1")] * 2 + [("g4", "h3", "g3", "h2", "g2", "h1", "g1")]
+
+    def rows(kind: int, counts: dict[str, int], seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+        clean: Counter = Counter()
+        for w, n in counts.items():
+            clean[w.strip(AROUND)] += n
+        clean.pop("", None)
+        words, weights = list(clean), np.fromiter(clean.values(), np.int64, len(clean))
+        for a in range(0, len(words), 5_000):
+            keys, word_of = _rolling(words[a : a + 5_000])
+            grams, first, inverse = np.unique(keys[names[kind][0]], return_index=True, return_inverse=True)
+            n = np.bincount(inverse, weights[a : a + 5_000][word_of], len(grams)).astype(np.int64)
             if kind == 2:
-                names = ("g4", "h3", "g3", "h2", "g2", "h1", "g1")
-            else:
-                names = ("g5", "h4", "g4", "h3", "g3", "h2", "g1")
-            _, first, inverse = np.unique(keys[names[0]], return_index=True, return_inverse=True)
-            n = np.ones(len(first), np.int64) if weights is None else np.bincount(inverse, weights[a : a + 50_000][word_of]).astype(np.int64)
-            cols = [pa.array(np.full(len(first), kind, np.int32)), *(pa.array(keys[x][first]) for x in names), pa.array(n)]
+                first = first[~seen[grams]]
+                n = np.ones(len(first), np.int64)
+                seen[grams] = True
+            cols = [pa.array(np.full(len(first), kind, np.int32)), *(pa.array(keys[x][first]) for x in names[kind]), pa.array(n)]
             yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _COUNTS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, own = _fold_words(batches, classes.value)
-        yield from rows(2, list({w.strip(AROUND) for w in every} - {""}), None)
-        for kind, counts in enumerate(own):
-            clean: Counter = Counter()
-            for w, n in counts.items():
-                clean[w.strip(AROUND)] += n
-            clean.pop("", None)
-            yield from rows(kind, list(clean), np.fromiter(clean.values(), np.float64, len(clean)))
+        known, seen = classes.value, np.zeros(1 << BITS["g4"], bool)
+        gathered: list[Counter | dict] = [Counter(), Counter(), {}]
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    words = tokens(text)
+                    gathered[2].update(dict.fromkeys(words, 1))
+                    if doc_id in known:
+                        gathered[known[doc_id]].update(words)
+                for kind, counts in enumerate(gathered):
+                    if len(counts) >= WORDS_AT_ONCE:
+                        yield from rows(kind, counts, seen)
+                        counts.clear()
+        for kind, counts in enumerate(gathered):
+            yield from rows(kind, counts, seen)
 
     return run
 
@@ -135,14 +141,18 @@ def _continuations(grams: np.ndarray, suffixes: np.ndarray, contexts: np.ndarray
 def fit(rows) -> dict:
     """The tables of the models from the rows of counts (a pandas frame, one row per kind and n-gram)."""
     model: dict = {"classes": []}
-    arrays = {k: {c: part[c].to_numpy() for c in part.columns} for k, part in rows.groupby("kind")}
-    empty = {c: np.zeros(0, np.int64) for c in rows.columns}
+
+    def of(kind: int) -> dict[str, np.ndarray]:
+        found = {c: rows[c].to_numpy()[rows.kind.to_numpy() == kind] for c in rows.columns}
+        order = np.argsort(found["gram"], kind="stable")
+        return {c: x[order] for c, x in found.items()}
+
     for kind in (0, 1):
-        x = arrays.get(kind, empty)
+        x = of(kind)
         top = _order(x["gram"], x["context"], x["n"].astype(np.float64), BITS["g5"], BITS["h4"])
         middle = _order(*_continuations(x["gram"], x["suffix"], x["suffix_context"]), BITS["g4"], BITS["h3"])
         model["classes"].append((*top, *middle))
-    x = arrays.get(2, empty)
+    x = of(2)
     three = _continuations(x["gram"], x["suffix"], x["suffix_context"])
     two = _continuations(x["suffix"], x["low"], x["low_context"])
     one = _continuations(x["low"], x["unit"], np.zeros_like(x["unit"]))
@@ -181,8 +191,8 @@ def _evidence(model):
                 inner = [w.strip(AROUND) for w in new]
                 known = [i for i, w in enumerate(inner) if w]
                 memo.update(dict.fromkeys(new, 0.0))
-                for b in range(0, len(known), 50_000):
-                    some = known[b : b + 50_000]
+                for b in range(0, len(known), 8_000):
+                    some = known[b : b + 8_000]
                     memo.update(zip([new[i] for i in some], word_ratios(tables, [inner[i] for i in some]).tolist()))
                 out = np.zeros((len(docs), 4))
                 for i, d in enumerate(docs):
@@ -240,7 +250,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, labe
     others = [F.min(k).alias(k) for k in keys[2:]]
     # each table has a fixed number of buckets, so that the rows that come back are bounded
     counts = rows.mapInArrow(_counted(classes), _COUNTS).groupBy(*keys[:2]).agg(*others, F.sum("n").alias("n")).toPandas()
-    model = spark.sparkContext.broadcast(fit(counts.sort_values(["kind", "gram"])))
+    model = spark.sparkContext.broadcast(fit(counts))
     del counts
     evidence = materialise(rows.mapInArrow(_evidence(model), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)), "evidence")
     fitting = {d: c for d, (c, fits) in sample.items() if fits}
