@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, embedding_dedup, langid, packing, sharding, topk, toxicity
+from gridloom.llm import bpe, embedding_dedup, langid, near_dedup, packing, sharding, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": sharding.op2_sharding,
         "op3_packing": packing.op3_packing,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_topk": topk.op6_topk,
         "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
         "op8_byte_bpe": bpe.op8_byte_bpe,
