@@ -114,27 +114,32 @@ def infer(logs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return best[again], best_share[again]
 
 
+def decide(text: str, langs: list[str], logs: np.ndarray) -> tuple[str, float, list[str], list[float]]:
+    """Prediction, score, set of languages and proportions of one text."""
+    if not langs or not has_letter(text):
+        return UNDETERMINED, 0.0, [], []
+    found, counts = np.unique(grams(text), return_counts=True)
+    rows = logs[found].astype(np.float64)
+    chosen, share = infer(rows, counts)
+    certain = 1.0
+    if len(chosen) == 1:  # how much likelier the language is than any other alone
+        single = counts @ rows / DEPENDENCE
+        certain = 1 / np.exp(np.clip(single - single[chosen[0]], -700, 700)).sum()
+    return langs[chosen[0]], float(share[0] * certain), [langs[c] for c in chosen], share.tolist()
+
+
 _OUT = "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>"
 
 
 def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, logs = model.value
+        types = (pa.int64(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()))
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if not langs or not has_letter(text):
-                    out.append((doc_id, UNDETERMINED, 0.0, [], []))
-                    continue
-                found, counts = np.unique(grams(text), return_counts=True)
-                rows = logs[found].astype(np.float64)
-                chosen, share = infer(rows, counts)
-                single = counts @ rows / DEPENDENCE
-                certain = 1 / np.exp(np.maximum(single - single[chosen[0]], -700).clip(max=700)).sum() if len(chosen) == 1 else 1.0
-                out.append((doc_id, langs[chosen[0]], float(share[0] * certain), [langs[c] for c in chosen], share.tolist()))
-            types = (pa.int64(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [c.split()[0] for c in _OUT.split(", ")])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                out = [decide(text, *model.value) for text in part.column("text").to_pylist()]
+                cols = [part.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out), types[1:]))]
+                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _OUT.split(", ")])
 
     return run
 
@@ -167,5 +172,19 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
+def identified_rows(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is determined with at least this score."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                found = [decide(text or "", *model.value) for text in part.column("text").to_pylist()]
+                yield part.filter(pa.array([lang != UNDETERMINED and score >= least_score for lang, score, *_ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))

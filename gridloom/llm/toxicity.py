@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, remainder, table
+from gridloom.llm.common import remainder, table
 
 #: Labelled rows of each class that the class counts and the regression may use, those of the smallest hashes.
 LABELLED_DOCS = 20_000
@@ -178,29 +178,40 @@ def word_ratios(model: dict, words: list[str]) -> np.ndarray:
 FEATURES = ("mean_all", "top1", "top2", "top3")
 
 
+class Evidence:
+    """Evidence of texts; remembers the ratios of words."""
+
+    def __init__(self, tables: dict):
+        self.tables, self.memo = tables, {}
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        docs, memo = [tokens(t) for t in texts], self.memo
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        new = list({w for d in docs for w in d if w not in memo})
+        inner = [w.strip(AROUND) for w in new]
+        known = [i for i, w in enumerate(inner) if w]
+        memo.update(dict.fromkeys(new, 0.0))
+        for b in range(0, len(known), 8_000):
+            some = known[b : b + 8_000]
+            memo.update(zip([new[i] for i in some], word_ratios(self.tables, [inner[i] for i in some]).tolist()))
+        out = np.zeros((len(docs), len(FEATURES)))
+        for i, d in enumerate(docs):
+            if d:
+                r = np.fromiter(map(memo.__getitem__, d), np.float64, len(d))
+                best = np.sort(np.partition(r, max(0, len(r) - 3))[-3:])[::-1]
+                out[i] = r.mean(), best[0], best[:2].sum() / 2, best.sum() / 3
+        return out
+
+
 def _evidence(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, memo = model.value, {}
+        evidence = Evidence(model.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                docs = [tokens(t) for t in part.column("text").to_pylist()]
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                new = list({w for d in docs for w in d if w not in memo})
-                inner = [w.strip(AROUND) for w in new]
-                known = [i for i, w in enumerate(inner) if w]
-                memo.update(dict.fromkeys(new, 0.0))
-                for b in range(0, len(known), 8_000):
-                    some = known[b : b + 8_000]
-                    memo.update(zip([new[i] for i in some], word_ratios(tables, [inner[i] for i in some]).tolist()))
-                out = np.zeros((len(docs), 4))
-                for i, d in enumerate(docs):
-                    if d:
-                        r = np.fromiter(map(memo.__getitem__, d), np.float64, len(d))
-                        best = np.sort(np.partition(r, max(0, len(r) - 3))[-3:])[::-1]
-                        out[i] = r.mean(), best[0], best[:2].sum() / 2, best.sum() / 3
-                cols = [part.column("doc_id"), *(pa.array(out[:, k]) for k in range(4))]
+                out = evidence(part.column("text").to_pylist())
+                cols = [part.column("doc_id"), *(pa.array(out[:, k]) for k in range(len(FEATURES)))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *FEATURES])
 
     return run
@@ -233,16 +244,21 @@ def labelled_sample(labels: DataFrame, held_out_mod: int = 3, held_out: int = 1,
     return found
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, labelled_docs: int = LABELLED_DOCS) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` and the evidence of every whole text.
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    Labels are learnt from rows whose crc32(id as text) mod 3 is not 1; of repeated labels the larger
-    counts, others than 0 and 1 are left out. A null or empty text, or one without words, has no evidence:
-    zeros, which score as such. Repeated rows are scored alike, each on its own; a null id is never held
-    out. With rows of only one class to learn from, every score is that class. Other columns are not read.
+
+def _of_evidence(model, rows: DataFrame) -> DataFrame:
+    return rows.mapInArrow(_evidence(model), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLED_DOCS):
+    """The broadcast tables of the models, and weights and intercept of the score.
+
+    The shared counts come from all of ``docs``, the counts of the classes and the regression from the
+    sample of labelled rows. With rows of only one class the weights are zero and the intercept infinite.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    spark, rows = docs.sparkSession, _rows(docs)
     sample = labelled_sample(labels, most=labelled_docs)
     counted = {d: c for d, (c, fits) in sample.items() if not fits}
     classes = spark.sparkContext.broadcast(counted)
@@ -252,27 +268,56 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, labe
     counts = rows.mapInArrow(_counted(classes), _COUNTS).groupBy(*keys[:2]).agg(*others, F.sum("n").alias("n")).toPandas()
     model = spark.sparkContext.broadcast(fit(counts))
     del counts
-    evidence = materialise(rows.mapInArrow(_evidence(model), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)), "evidence")
     fitting = {d: c for d, (c, fits) in sample.items() if fits}
     if len(set(fitting.values())) < 2 or len(set(counted.values())) < 2:
         fitting = {d: c for d, (c, _) in sample.items()}
+    none = np.zeros(len(FEATURES))
+    if not fitting:
+        return model, none, -np.inf
+    wanted = spark.createDataFrame(sorted(fitting.items()), "doc_id long, toxic int")
+    found = _of_evidence(model, rows.join(F.broadcast(wanted), "doc_id", "left_semi"))
+    found = found.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")  # at most one row of each of the sample
+    toxic = found.doc_id.map(fitting).to_numpy(float)
+    if len(set(toxic)) < 2:
+        return model, none, np.inf if toxic.any() else -np.inf
+    return model, *_regression(found[list(FEATURES)].to_numpy(), toxic)
+
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, labelled_docs: int = LABELLED_DOCS) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` and the evidence of every whole text.
+
+    Labels are learnt from rows whose crc32(id as text) mod 3 is not 1; of repeated labels the larger
+    counts, others than 0 and 1 are left out. A null or empty text, or one without words, has no evidence:
+    zeros, which score as such. Repeated rows are scored alike, each on its own; a null id is never held
+    out. With rows of only one class to learn from, every score is that class, without any it is 0. Other
+    columns are not read.
+    """
+    model, weights, intercept = train(docs, labels, labelled_docs)
+    z = F.lit(float(np.clip(intercept, -1e6, 1e6)))
+    for name, w in zip(FEATURES, weights.tolist()):
+        z = z + F.col(name) * F.lit(w)
+    value = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-700.0)), F.lit(700.0))))
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
-    if len(set(fitting.values())) == 2:
-        wanted = spark.createDataFrame(sorted(fitting.items()), "doc_id long, toxic int")
-        got = evidence.join(F.broadcast(wanted), "doc_id").orderBy("doc_id", *FEATURES).limit(2 * len(fitting)).toPandas()
-        if got.toxic.nunique() == 2:
-            weights, intercept = _regression(got[list(FEATURES)].to_numpy(), got.toxic.to_numpy(float))
-            z = F.lit(intercept)
-            for name, w in zip(FEATURES, weights.tolist()):
-                z = z + F.col(name) * F.lit(w)
-            value = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-700.0)), F.lit(700.0))))
-        else:
-            value = F.lit(float(got.toxic.max() if len(got) else 0))
-    else:
-        value = F.lit(float(max(fitting.values(), default=0)))
-    out = evidence.select("doc_id", held_out.alias("held_out"), value.cast("double").alias("score"), *FEATURES)
+    out = _of_evidence(model, _rows(docs)).select("doc_id", held_out.alias("held_out"), F.round(value, 12).alias("score"), *FEATURES)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def clean_rows(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is not predicted toxic."""
+    model, weights, intercept = train(docs, labels)
+    # score >= threshold where the weighted evidence is at least this
+    least = np.log(threshold / (1 - threshold)) - intercept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = Evidence(model.value)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                toxic = evidence([t or "" for t in part.column("text").to_pylist()]) @ weights >= least
+                yield part.filter(pa.array(~toxic))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
