@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import materialise, release
 
 
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least node that each of n nodes reaches by the edges."""
+    root = np.arange(n)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        different = root[i] != root[j]
+        i, j = np.concatenate([i[different], root[i[different]]]), np.concatenate([j[different], root[j[different]]])
+    return root
+
+
 def _star_ends(pairs: DataFrame) -> DataFrame:
     """(a, b) with the least of a and all its partners. The minimum is combined before the shuffle and joined
     back, so that a node with many partners is no group in one task; adaptive execution splits its rows."""

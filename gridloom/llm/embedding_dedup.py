@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import materialise, release, table
-from gridloom.llm.components import components
+from gridloom.llm.components import components, spanning
 
 COSINE = 0.93
 #: Leading principal dimensions of the grid; they are fitted to this many vectors, of the smallest hashes,
@@ -145,19 +145,6 @@ def join_intervals(a: Interval, b: Interval, same: bool, cosine: float) -> tuple
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least node that each of n nodes reaches by the edges."""
-    root = np.arange(n)
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        root = root[root]
-        different = root[i] != root[j]
-        i, j = np.concatenate([i[different], root[i[different]]]), np.concatenate([j[different], root[j[different]]])
-    return root
-
-
 def _linked(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

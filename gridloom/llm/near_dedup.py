@@ -7,10 +7,12 @@ many as two similar sets can differ in and some more, so that two similar classe
 those that share no more than a frequent passage don't. Candidates pass if the sketch of the union, formed
 from both sketches, estimates a similarity not far below the threshold; exact sets then confirm links.
 
-A list is no clique to expand. Each round compares the members of a list with a few centres only, and
-lists whose members have come together in one component are done. What is left after the rounds is
-compared in blocks, all members of different components against each other, so that no link between
-components is lost.
+A list is no clique to expand. Each round compares the members of a list with one centre only, and lists
+whose members have come together in one component are done. Of what is left after the rounds, the members
+of short lists are compared pair by pair. Those of longer lists are written as their differences from the
+list's centre, and as the difference of two sets follows exactly from their differences from a third,
+blocks of members are compared by these short arrays alone; a block yields a spanning forest of its links,
+not the links. So no link between components is lost, and no group is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import materialise, release, small_or_shuffled, table
-from gridloom.llm.components import components
+from gridloom.llm.components import components, spanning
 
 SHINGLE_WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Values of a sketch, and how many of them, the rarest, a set of more shingles than the sketch holds is
@@ -32,12 +34,12 @@ SHINGLE_WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 SKETCH, LISTED = 32, 16
 #: Deviations by which the estimate may stay below the threshold.
 DEVIATIONS = 5.0
-#: Centres of a list in a round, rounds, and members of a block in what is left.
-CENTRES, ROUNDS, BLOCK = 3, 2, 256
+#: Rounds with one centre a list, members of a list that is short, and members of a block of longer ones.
+ROUNDS, SHORT, BLOCK = 2, 32, 256
 #: Documents compared with one copy of a centre.
 PER_CENTRE = 400
 MEMO_WORDS = 300_000
-#: Shingles that are hashed at a time, and texts of a batch.
+#: Texts of a batch.
 BATCH = 256
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -138,47 +140,66 @@ class _Join:
             known = index.withColumn("component", F.col("node"))
         else:
             known = index.join(small_or_shuffled(component), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        seeds = [F.min(F.struct(F.xxhash64("node", F.lit(17 * len(self.edges) + c)).alias("h"), "node", "n_shingles", "component")).alias(f"c{c}") for c in range(CENTRES)]
-        several = known.groupBy("value").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), *seeds).filter("low < high")
+        centre = F.min(F.struct(F.xxhash64("node", F.lit(17 * len(self.edges))).alias("h"), "node", "n_shingles", "component")).alias("centre")
+        several = known.groupBy("value").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), centre).filter("low < high")
         return known.join(several.drop("low", "high"), "value")
 
     def similar_sizes(self, n: Column, m: Column) -> Column:
         return F.least(n, m) * self.denominator >= F.greatest(n, m) * self.numerator
 
     def star_pairs(self, active: DataFrame) -> DataFrame:
-        met = active.select("node", "n_shingles", "component", F.explode(F.array(*(f"c{c}" for c in range(CENTRES)))).alias("centre"))
-        met = met.filter(F.col("centre.component") != F.col("component")).filter(self.similar_sizes(F.col("n_shingles"), F.col("centre.n_shingles")))
+        met = active.filter(F.col("centre.component") != F.col("component")).filter(self.similar_sizes(F.col("n_shingles"), F.col("centre.n_shingles")))
         pairs = met.select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
         sketch = self.classes.select("node", "sketch")
         pairs = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b")
         return materialise(pairs.filter(estimate(F.col("s"), F.col("t")) >= self.least).select("a", "b"), "pairs")
 
-    def block_pairs(self, active: DataFrame) -> DataFrame:
-        """All pairs of different components in what lists are left, block against block, that pass the sizes and the estimate."""
-        rows = active.select("value", "node", "n_shingles", "component", F.expr(f"cast(ceil(members / {BLOCK}) as int)").alias("blocks"))
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    def short_pairs(self, active: DataFrame) -> DataFrame:
+        """All pairs of different components in the short lists that are left, which pass the sizes and the estimate."""
+        rows = active.filter(F.col("members") <= SHORT).select("value", "node", "n_shingles", "component")
+        rows = rows.join(self.classes.select("node", "sketch"), "node")
+        ordered = rows.repartition("value").sortWithinPartitions("value")
+        return materialise(ordered.mapInArrow(_short_pairs(self.numerator, self.denominator, self.least), "a long, b long").distinct(), "pairs")
+
+    def long_links(self, active: DataFrame) -> DataFrame:
+        """A spanning forest of the links between components in the long lists that are left."""
+        met = active.filter(F.col("members") > SHORT).select(F.col("centre.node").alias("a"), F.col("node").alias("b"), "n_shingles", "component")
+        met = materialise(met.distinct(), "members")
+        blocks = met.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
+        ordered, texts = self.texts_by_centre(met.select("a", "b"))
+        deltas = ordered.mapInArrow(_deltas(self.words), "a long, b long, delta array<long>").dropDuplicates(["a", "b"])
+        rows = deltas.join(met, ["a", "b"]).join(blocks, "a").withColumn("own", F.pmod(F.xxhash64("b", F.lit(5)), F.col("blocks")).cast("int"))
+        rows = materialise(rows, "deltas")
+        release(texts, met)
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        dealt = rows.select("value", "node", "n_shingles", "component", "own", other)
-        dealt = dealt.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n_shingles", "component")
-        dealt = dealt.join(self.classes.select("node", "sketch"), "node")
-        ordered = dealt.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
-        return materialise(ordered.mapInArrow(_block_pairs(self.numerator, self.denominator, self.least), "a long, b long").distinct(), "pairs")
+        dealt = rows.select("a", "b", "n_shingles", "component", "own", "delta", other)
+        dealt = dealt.select("a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "b", "n_shingles", "component", "delta")
+        ordered = dealt.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+        edges = materialise(ordered.mapInArrow(_block_links(self.numerator, self.denominator), "u long, v long"), "confirmed")
+        release(rows)
+        return edges
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose exact similarity reaches the threshold. A centre (a) meets its documents (b) in
-        groups of a bounded number; its text is sent once a group."""
+    def texts_by_centre(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(a, b, text) in groups of a bounded number of pairs with one centre (a), whose own text leads with
+        a null b, and the table of texts to release."""
         busy = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > PER_CENTRE)
         groups = pairs.join(busy, "a", "left").withColumn("g", F.pmod(F.xxhash64("b"), F.coalesce(F.expr(f"cast(ceil(n / {PER_CENTRE}) as long)"), F.lit(1))))
         groups = groups.select("a", "b", "g")
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = materialise(self.classes.select("node", "text_hash", "bytes").join(nodes, "node"), "wanted")
         texts = self.docs.select("text_hash", "bytes", "text").join(small_or_shuffled(wanted), ["text_hash", "bytes"]).select("node", "text")
-        texts = materialise(texts, "texts")  # copies of a text may come more than once; the centre's is replaced, a document's link repeated
+        # of the copies of a text one is enough; what is dropped is equal
+        texts = materialise(texts.dropDuplicates(["node"]), "texts")
+        release(wanted)
         side = groups.join(texts.withColumnRenamed("node", "b"), "b").select("a", "g", "b", "text")
         head = groups.select("a", "g").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "g", F.lit(None).cast("long").alias("b"), "text")
-        met = side.unionByName(head).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
-        edges = materialise(met.mapInArrow(_confirmed(self.words, self.numerator, self.denominator), "u long, v long"), "confirmed")
-        release(texts, wanted)
+        return side.unionByName(head).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first()), texts
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose exact similarity reaches the threshold."""
+        ordered, texts = self.texts_by_centre(pairs)
+        edges = materialise(ordered.mapInArrow(_confirmed(self.words, self.numerator, self.denominator), "u long, v long"), "confirmed")
+        release(texts)
         return edges
 
     def component(self) -> DataFrame:
@@ -194,8 +215,10 @@ class _Join:
             if active.isEmpty():
                 release(active)
                 break
-            pairs = self.star_pairs(active) if step < ROUNDS else self.block_pairs(active)
+            pairs = self.star_pairs(active) if step < ROUNDS else self.short_pairs(active)
             self.edges.append(self.confirm(pairs))
+            if step == ROUNDS and not active.filter(F.col("members") > SHORT).isEmpty():
+                self.edges.append(self.long_links(active))
             release(active, pairs, component)
             component = self.component()
         release(index)
@@ -211,48 +234,102 @@ class _Join:
         return grouped
 
 
-def _block_pairs(numerator: int, denominator: int, least: float):
-    def settled(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        """rows: own block, node, size, component, sketch of one pair of blocks."""
-        own, nodes, sizes, comps = (np.array(x, np.int64) for x in zip(*(r[:4] for r in rows)))
-        lists: dict[int, list[int]] = {}
-        for p, r in enumerate(rows):
-            for v in r[4]:
-                lists.setdefault(v, []).append(p)
-        both = np.zeros((len(rows), len(rows)), np.int16)
-        for members in lists.values():
-            if len(members) > 1:
-                both[np.ix_(members, members)] += 1
-        low, high = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
-        fits = (comps[:, None] != comps[None, :]) & (low * denominator >= high * numerator)
-        if own.min() != own.max():
-            fits &= own[:, None] != own[None, :]
-        # an upper bound of the estimate: all common values lie in the sketch of the union
-        k = np.minimum(high, SKETCH)
-        i, j = np.nonzero(np.triu(fits & (both >= least * k), 1))
-        a, b = [], []
-        for p, q in zip(i.tolist(), j.tolist()):
-            s, t = set(rows[p][4]), set(rows[q][4])
-            union = sorted(s | t)[:SKETCH]
-            if sum(x in s and x in t for x in union) >= least * len(union):
-                a.append(min(nodes[p], nodes[q]))
-                b.append(max(nodes[p], nodes[q]))
-        return a, b
+def _grouped_rows(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Runs of rows with equal keys, of batches sorted by them."""
+    now, rows = None, []
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in key))
+        for k, r in zip(keys, zip(*(batch.column(c).to_pylist() for c in columns))):
+            if k != now:
+                if rows:
+                    yield rows
+                now, rows = k, []
+            rows.append(r)
+    if rows:
+        yield rows
+
 
+def _short_pairs(numerator: int, denominator: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        a, b = set(), []
+        for rows in _grouped_rows(batches, ("value",), ("node", "n_shingles", "component", "sketch")):
+            sets = [set(r[3]) for r in rows]
+            for p, (node, n, component, _) in enumerate(rows):
+                for q in range(p):
+                    other, m, its, _ = rows[q]
+                    if its == component or min(n, m) * denominator < max(n, m) * numerator or (min(node, other), max(node, other)) in a:
+                        continue
+                    both = sets[p] & sets[q]
+                    if len(both) >= least * SKETCH or max(n, m) < SKETCH:
+                        union = sorted(sets[p] | sets[q])[:SKETCH]
+                        if sum(x in both for x in union) >= least * len(union):
+                            pair = min(node, other), max(node, other)
+                            a.add(pair)
+                            b.append(pair)
+            if len(b) > 5_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*b)], ["a", "b"])
+                b = []
+            if len(a) > 500_000:
+                a.clear()
+        if b:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*b)], ["a", "b"])
+
+    return run
+
+
+def _deltas(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, centre = Shingler(words), None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("value", "i", "j", "own", "node", "n_shingles", "component", "sketch")]
-            for r in zip(*cols):
-                if r[:3] != now:
-                    if len(rows) > 1:
-                        a, b = settled(rows)
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                    now, rows = r[:3], []
-                rows.append(r[3:])
-        if len(rows) > 1:
-            a, b = settled(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            for at in range(0, batch.num_rows, BATCH):
+                part, out = batch.slice(at, BATCH), []
+                for a, b, text in zip(*(part.column(c).to_pylist() for c in ("a", "b", "text"))):
+                    if b is None:
+                        centre = shingles(text)
+                    else:
+                        out.append((a, b, np.setxor1d(centre, shingles(text), assume_unique=True)))
+                if out:
+                    cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+                    yield pa.RecordBatch.from_arrays(cols, ["a", "b", "delta"])
+
+    return run
+
+
+def common_counts(arrays: list[np.ndarray]) -> np.ndarray:
+    """How many values each two arrays of distinct values share (the diagonal: 0)."""
+    n = len(arrays)
+    both = np.zeros((n, n), np.int32)
+    owners = np.repeat(np.arange(n), [len(x) for x in arrays])
+    values = np.concatenate(arrays) if n else np.zeros(0, np.int64)
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(values)]):
+        if e - s > 1:
+            members = owners[s:e]
+            both[members[:, None], members] += 1
+    np.fill_diagonal(both, 0)
+    return both
+
+
+def _block_links(numerator: int, denominator: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped_rows(batches, ("a", "i", "j"), ("own", "b", "n_shingles", "component", "delta")):
+            own, nodes, sizes, comps = (np.array(x, np.int64) for x in list(zip(*rows))[:4])
+            if comps.min() == comps.max():
+                continue
+            deltas = [np.array(r[4], np.int64) for r in rows]
+            lengths = np.array([len(d) for d in deltas])
+            apart = np.add.outer(lengths, lengths) - 2 * common_counts(deltas)  # of the symmetric difference
+            total = np.add.outer(sizes, sizes)
+            linked = ((total - apart) * denominator >= (total + apart) * numerator) & (comps[:, None] != comps[None, :])
+            if own.min() != own.max():
+                linked &= own[:, None] != own[None, :]
+            i, j = np.nonzero(np.triu(linked, 1))
+            root = spanning(len(rows), i, j)
+            at = np.flatnonzero(root != np.arange(len(rows)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[root[at]])], ["u", "v"])
 
     return run
 

@@ -72,8 +72,10 @@ def test_against_brute_force(spark, args):
     assert run(spark, docs, *args) == brute(docs, *args)
 
 
-def test_blocks_settle_what_rounds_leave(spark, monkeypatch):
+@pytest.mark.parametrize("short", [1, 5, 1000])
+def test_blocks_settle_what_rounds_leave(spark, monkeypatch, short):
     monkeypatch.setattr(nd, "ROUNDS", 0)
+    monkeypatch.setattr(nd, "SHORT", short)
     monkeypatch.setattr(nd, "BLOCK", 4)
     monkeypatch.setattr(nd, "PER_CENTRE", 3)
     docs = corpus(2, 80)
