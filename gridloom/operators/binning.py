@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -117,20 +116,27 @@ def histogram_peak(df: DataFrame, value: str, width: float = 0.05) -> DataFrame:
 
 
 def band_mode(df: DataFrame, keys: list[str], value: str, peak: float, width: float = 0.05, fwhm: float = 1.0, least_height: float = 1.2, expected: int = 300) -> DataFrame:
-    """The second band's mode in each cell: the fullest bin of a histogram that a Gaussian about the global
-    peak weights. Null where it is the cell's lowest bin, the only bin, or not higher than a flat histogram of
-    the expected number of values would be."""
+    """The second band's mode in each cell: the best bin of a histogram that a Gaussian about the global peak
+    weights, but for the lowest bin. Null where there is one bin only, or where the best weighs less than a
+    flat histogram of the expected number of values would, by a factor. Of equals the lower bin counts."""
     v = stats.missing_to_null(F.col(value))
     counts = df.filter(v.isNotNull()).groupBy(*keys, F.floor(v / F.lit(width)).alias("k")).agg(F.count("*").alias("n"))
     centre = (F.col("k") + 0.5) * F.lit(width)
-    sigma = fwhm / (2 * math.sqrt(2 * math.log(2)))
+    sigma = fwhm / 2.355
     w = F.col("n") * F.exp(-(centre - F.lit(peak)) * (centre - F.lit(peak)) / F.lit(2 * sigma * sigma))
-    cell = counts.withColumn("w", F.round(w, 9)).groupBy(*keys).agg(
-        F.max_by("k", F.struct("w", -F.col("k"))).alias("best"), F.max("n").alias("height"), F.min("k").alias("low"), F.count("*").alias("bins")
+    lows = counts.groupBy(*keys).agg(F.min("k").alias("low"), (F.max("k") - F.min("k") + 1).alias("bins"))
+    rated = counts.withColumn("w", F.round(w, 9)).join(lows, keys)
+    above = F.when(F.col("k") > F.col("low"), F.col("k"))
+    cell = rated.groupBy(*keys).agg(
+        F.max_by("k", F.struct("w", -F.col("k"))).alias("best"),
+        F.max_by(above, F.when(above.isNotNull(), F.struct(F.col("w"), -F.col("k")))).alias("second"),
+        F.max(F.when(above.isNotNull(), F.col("w"))).alias("height"),
+        F.max("low").alias("low"),
+        F.max("bins").alias("bins"),
     )
-    flat = F.lit(least_height * expected) / F.col("bins")
-    good = (F.col("best") != F.col("low")) & (F.col("bins") > 1) & (F.col("height") >= flat)
-    return cell.select(*keys, F.when(good, (F.col("best") + 0.5) * F.lit(width)).alias("z"))
+    left = F.when(F.col("best") == F.col("low"), F.col("bins") - 1).otherwise(F.col("bins"))
+    good = (F.col("bins") > 1) & (F.col("height") >= F.lit(least_height * expected) / F.nullif(left, F.lit(0)))
+    return cell.select(*keys, F.when(good, (F.col("second") + 0.5) * F.lit(width)).alias("z"))
 
 
 def low_band_mean(df: DataFrame, keys: list[str], value: str, shares: tuple[float, float] = (0.02, 0.04), least: float = 0.0) -> DataFrame:

@@ -1,0 +1,157 @@
+"""Queries of the array operators: every embedding is a tile of 8 by 8 pixels, suppliers and orders are objects.
+
+SQL expresses none of the array kernels; the tests hold these against brute force.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.operators import corrections, features, raster, surface
+from gridloom.plans.experiment import Experiment
+from gridloom.plans.registry import query
+from gridloom.sources import table
+from gridloom.streaming.features import windowed_features
+
+SIDE = 8
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").filter(F.size("embedding") == SIDE * SIDE)
+    place = {"bx": F.col("vec_id") % 64, "by": F.floor(F.col("vec_id") / 64)}
+    size = {"x0": F.col("vec_id") % 64 * SIDE, "y0": F.floor(F.col("vec_id") / 64) * SIDE, "h": F.lit(SIDE), "w": F.lit(SIDE)}
+    ints = [c.cast("int").alias(n) for n, c in (place | size).items()]
+    return e.select(F.lit("embeddings").alias("image_id"), F.lit("DAPI").alias("channel"), *ints, F.transform("embedding", lambda v: v.cast("float")).alias("pixels"))
+
+
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = blocks(spark, sf_dir)
+    return b.select("image_id", "channel", (F.col("by") * 64 + F.col("bx")).cast("long").alias("tile_id"), F.col("bx").alias("tx"), F.col("by").alias("ty"), "x0", "y0", "h", "w", "pixels")
+
+
+def wide_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of 4 by 4 embeddings."""
+    return raster.to_blocks(tiles(spark, sf_dir).drop("channel"), 4, (SIDE, SIDE), "DAPI")
+
+
+def _masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    b = wide_blocks(spark, sf_dir)
+    return b, raster.object_masks(b, raster.block_thresholds(b, corrected=True), raster.DistanceWatershed(2, 3, smoothing_size=1.0))
+
+
+@query()
+def tile_to_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tiles(spark, sf_dir).drop("channel")
+    out = raster.to_blocks(t, 2, (SIDE, SIDE), "DAPI")
+    return out.select("bx", "by", "h", "w", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, p: a + p), 4).alias("total"))
+
+
+@query()
+def tile_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.strips(tiles(spark, sf_dir), "tx").select("tx", "h", "w", F.size("pixels").alias("n"))
+
+
+@query()
+def block_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.block_thresholds(blocks(spark, sf_dir), corrected=True)
+
+
+@query()
+def sharpness_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.block_sharpness(blocks(spark, sf_dir))
+
+
+@query()
+def block_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = blocks(spark, sf_dir)
+    return raster.levels(b, raster.block_thresholds(b, corrected=True))
+
+
+@query()
+def watershed_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, m = _masks(spark, sf_dir)
+    return m.select("bx", "by", F.aggregate("pixels", F.lit(0.0), lambda a, p: a + p).cast("int").alias("pixels_in_objects"))
+
+
+@query()
+def object_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, m = _masks(spark, sf_dir)
+    return raster.object_pixels(b, m).groupBy("bx", "by", "label").agg(F.count("*").alias("area"), F.round(F.max("distance"), 6).alias("depth"))
+
+
+@query()
+def shape_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, m = _masks(spark, sf_dir)
+    return raster.array_features(b, m, {"shape": {"vertices": 20, "descriptors": 6}})
+
+
+@query()
+def granularity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, m = _masks(spark, sf_dir)
+    return raster.array_features(b, m, {"granularity": {"spectrum": 3, "element": 2}})
+
+
+@query()
+def experiment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = features.FeatureExtractor([features.BasicProps("DAPI"), features.Location(), features.Intensity("DAPI"), features.Ellipse(), features.RadialIntensity("DAPI", rings=1, width=1)])
+    e = Experiment(wide_blocks(spark, sf_dir), ["DAPI"], "DAPI", raster.DistanceWatershed(2, 3, smoothing_size=1.0), groups)
+    return e.create_object_mask(corrected=True).compute_features((4 * SIDE, 4 * SIDE), {"shape": {"vertices": 20, "descriptors": 6}})
+
+
+@query()
+def roi_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("object_id"), (F.col("s_suppkey") * 7 % 500 + 1).alias("x"), (F.col("s_suppkey") * 3 % 60 + 1).alias("y"))
+    return raster.extract_images(objects, tiles(spark, sf_dir), (SIDE, SIDE), 64, (11, 11))
+
+
+def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as objects on a square of 10 by 10 with a value about 1 and, for one in five, about 2."""
+    o = table(spark, sf_dir, "orders")
+    x, y = F.pmod(F.xxhash64("o_orderkey"), F.lit(10_000)) / 1000, F.pmod(F.xxhash64("o_custkey", "o_orderkey"), F.lit(10_000)) / 1000
+    noise = (F.pmod(F.xxhash64("o_totalprice"), F.lit(1000)) - 500) / 10_000
+    return o.select(F.col("o_orderkey").alias("id"), x.alias("x"), y.alias("y"), ((F.when(F.col("o_orderkey") % 5 == 0, 2.0).otherwise(1.0) + noise) * (1 + x / 40)).alias("v"), F.lit(200.0).alias("area"))
+
+
+@query()
+def lowess_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = surface.decimate_and_smooth(_objects(spark, sf_dir), "x", "y", "v", 1.0, 2.5)
+    return spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(s.x, s.y, s.z)], "x double, y double, z double")
+
+
+@query()
+def reference_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = np.linspace(0, 10, 11)
+    _, objects = corrections.reference_corrections(_objects(spark, sf_dir), (10.0, 10.0), (nodes, nodes), area="area")
+    return objects.select("id", F.round("corrected", 4).alias("corrected"), "first_band")
+
+
+@query()
+def channel_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = np.linspace(0, 10, 6)
+    z, _ = corrections.channel_corrections(_objects(spark, sf_dir), (10.0, 10.0), (nodes, nodes))
+    return spark.createDataFrame([(i, j, float(z[j, i])) for j in range(6) for i in range(6)], "gx int, gy int, z double")
+
+
+@query()
+def stripe_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _objects(spark, sf_dir).filter("id % 5 <> 0").withColumn("v", (1 + 0.1 * F.sin(2 * np.pi * F.col("x") / 0.5)))
+    s = surface.fit_stripe(o, "x", "v", 0.02)
+    return spark.createDataFrame([(float(a), float(b)) for a, b in zip(s.x, s.s)], "x double, s double")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly features of the event stream, read to its present end."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    if table(spark, sf_dir, "events").inputFiles()[0].rstrip("/").split("/")[-1] != "events.parquet":  # a folder of parts
+        stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    name = f"windows_{uuid.uuid4().hex}"
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    q = windowed_features(stream, "ts", ["event_type"], "value").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -297,13 +297,15 @@ def histogram_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(binning.histogram_peak(totals(spark, sf_dir), "v"))
 
 
-_SIGMA2 = 2 * (1 / (2 * (2 * 0.6931471805599453) ** 0.5)) ** 2
+_SIGMA2 = 2 * (1 / 2.355) ** 2
 
 
 @query(f"""WITH c AS (SELECT cell, floor(v / 0.05) AS k, count(*) AS n FROM ({_TOTALS}) GROUP BY ALL),
-w AS (SELECT *, round(n * exp(-((k + 0.5) * 0.05 - 1.5) * ((k + 0.5) * 0.05 - 1.5) / {_SIGMA2!r}), 9) AS w FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY w DESC, k) AS i, max(n) OVER (PARTITION BY cell) AS h, min(k) OVER (PARTITION BY cell) AS lo, count(*) OVER (PARTITION BY cell) AS b FROM w)
-SELECT cell, round(CASE WHEN k <> lo AND b > 1 AND h >= 360 / b THEN (k + 0.5) * 0.05 END, 6) AS z FROM r WHERE i = 1""")
+w AS (SELECT *, round(n * exp(-((k + 0.5) * 0.05 - 1.5) * ((k + 0.5) * 0.05 - 1.5) / {_SIGMA2!r}), 9) AS w, min(k) OVER (PARTITION BY cell) AS lo, max(k) OVER (PARTITION BY cell) - min(k) OVER (PARTITION BY cell) + 1 AS b FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY w DESC, k) AS i FROM w),
+t AS (SELECT cell, any_value(b) - max(CASE WHEN i = 1 AND k = lo THEN 1 ELSE 0 END) AS b FROM r GROUP BY cell),
+u AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY w DESC, k) AS j FROM w WHERE k > lo)
+SELECT cell, round(CASE WHEN w >= 360 / t.b THEN (k + 0.5) * 0.05 END, 6) AS z FROM t LEFT JOIN (SELECT cell, k, w FROM u WHERE j = 1) USING (cell)""")
 def band_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(binning.band_mode(totals(spark, sf_dir), ["cell"], "v", peak=1.5))
 
