@@ -358,7 +358,7 @@ def granularity(image: np.ndarray, labels: np.ndarray, spectrum: int = 10, eleme
     if background_sample != 1:
         shape = tuple(max(1, int(round(background_sample * n))) for n in scaled.shape)
         small, small_mask = resize(scaled, shape), resize(mask, shape) > 0.5
-    ground = masked_opening(to_uint8(small), disk(element), ~small_mask)
+    ground = masked_opening(to_uint8(small), disk(element), small_mask)
     if ground.shape != scaled.shape:
         ground = np.clip(np.round(resize(ground, scaled.shape)), 0, 255).astype(np.uint8)
     now = to_uint8(scaled)

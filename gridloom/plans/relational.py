@@ -26,6 +26,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), F.col("l_discount").alias("z"))
 
 
+#: Means of whole places end after few digits; at this many no engine has to round a half.
+PLACES = 10
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -37,15 +41,15 @@ _POINTS = "SELECT l_quantity AS x, l_extendedprice / 1000 AS y, l_discount AS z
 # ---- features of objects
 
 
-@query(f"SELECT label, round(avg(x), 6) AS BasicProps_Centroid_X, round(avg(y), 6) AS BasicProps_Centroid_Y, count(*) AS BasicProps_Area, round(sum(v), 4) AS BasicProps_Intensity_v_Integrated FROM ({_PIXELS}) GROUP BY label")
+@query(f"SELECT label, round(avg(x), 10) AS BasicProps_Centroid_X, round(avg(y), 10) AS BasicProps_Centroid_Y, count(*) AS BasicProps_Area, round(sum(v), 4) AS BasicProps_Intensity_v_Integrated FROM ({_PIXELS}) GROUP BY label")
 def basic_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = features.extract(pixels(spark, sf_dir), ["label"], [features.BasicProps("v")])
-    return rounded(out.withColumn("BasicProps_Intensity_v_Integrated", F.round("BasicProps_Intensity_v_Integrated", 4)))
+    return rounded(out.withColumn("BasicProps_Intensity_v_Integrated", F.round("BasicProps_Intensity_v_Integrated", 4)), PLACES)
 
 
-@query(f"SELECT label, round(avg(x), 6) AS Location_Centroid_X, round(avg(y), 6) AS Location_Centroid_Y, min(x) AS Location_BBox_L, min(y) AS Location_BBox_T, max(x) - min(x) + 1 AS Location_BBox_W, max(y) - min(y) + 1 AS Location_BBox_H FROM ({_PIXELS}) GROUP BY label")
+@query(f"SELECT label, round(avg(x), 10) AS Location_Centroid_X, round(avg(y), 10) AS Location_Centroid_Y, min(x) AS Location_BBox_L, min(y) AS Location_BBox_T, max(x) - min(x) + 1 AS Location_BBox_W, max(y) - min(y) + 1 AS Location_BBox_H FROM ({_PIXELS}) GROUP BY label")
 def location_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.extract(pixels(spark, sf_dir), ["label"], [features.Location()]))
+    return rounded(features.extract(pixels(spark, sf_dir), ["label"], [features.Location()]), PLACES)
 
 
 _MOMENTS = """round(sum(v), 4) AS Intensity_v_Integrated, round(avg(v), 6) AS Intensity_v_Mean, round(stddev_samp(v), 6) AS Intensity_v_Std,
@@ -79,11 +83,12 @@ def radial_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.extract(pixels(spark, sf_dir), ["label"], [features.RadialIntensity("v", distance="x", rings=3, width=10)]), 4)
 
 
-@query(f"WITH p AS ({_PIXELS}) SELECT label, block, count(*) AS BasicProps_Area, round(avg(x) + 100, 6) AS BasicProps_Centroid_X, round(avg(y) + 200, 6) AS BasicProps_Centroid_Y, round(min(x) + 100, 6) AS Location_BBox_L, round(min(y) + 200, 6) AS Location_BBox_T, round(avg(v), 6) AS Intensity_v_Mean FROM p GROUP BY label, block")
+@query(f"WITH p AS ({_PIXELS}) SELECT label, block, count(*) AS BasicProps_Area, round(avg(x) + 100, 10) AS BasicProps_Centroid_X, round(avg(y) + 200, 10) AS BasicProps_Centroid_Y, round(min(x) + 100, 6) AS Location_BBox_L, round(min(y) + 200, 6) AS Location_BBox_T, round(avg(v), 6) AS Intensity_v_Mean FROM p GROUP BY label, block")
 def feature_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = [features.EmptyFeature(), features.BasicProps(), features.Location(), features.Intensity("v"), features.Intensity("no_such_channel")]
     out = features.FeatureExtractor(groups).compute(pixels(spark, sf_dir), ["label", "block"], offset=(F.lit(100), F.lit(200)))
-    return rounded(out.select("label", "block", "BasicProps_Area", "BasicProps_Centroid_X", "BasicProps_Centroid_Y", "Location_BBox_L", "Location_BBox_T", "Intensity_v_Mean"))
+    out = out.withColumn("Intensity_v_Mean", F.round("Intensity_v_Mean", 6))
+    return rounded(out.select("label", "block", "BasicProps_Area", "BasicProps_Centroid_X", "BasicProps_Centroid_Y", "Location_BBox_L", "Location_BBox_T", "Intensity_v_Mean"), PLACES)
 
 
 @query(f"WITH p AS ({_PIXELS}), f AS (SELECT label, count(*) AS a, avg(x) AS cx, sum(v) AS s, avg(v) AS m FROM p GROUP BY label) SELECT label, a AS BasicProps_Area, round(s + cx * 10, 4) AS Intensity_v_Integrated, round(m + cx * 10 / a, 6) AS Intensity_v_Mean FROM f")
