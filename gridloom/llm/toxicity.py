@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,13 +140,12 @@ def _continuations(grams: np.ndarray, suffixes: np.ndarray, contexts: np.ndarray
 
 
 def fit(rows) -> dict:
-    """The tables of the models from the rows of counts (a pandas frame, one row per kind and n-gram)."""
+    """The tables of the models from the rows of counts (an Arrow table, one row per kind and n-gram)."""
     model: dict = {"classes": []}
 
     def of(kind: int) -> dict[str, np.ndarray]:
-        found = {c: rows[c].to_numpy()[rows.kind.to_numpy() == kind] for c in rows.columns}
-        order = np.argsort(found["gram"], kind="stable")
-        return {c: x[order] for c, x in found.items()}
+        own = rows.filter(pc.equal(rows["kind"], kind)).sort_by("gram")
+        return {c: own[c].to_numpy() for c in own.column_names}
 
     for kind in (0, 1):
         x = of(kind)
@@ -265,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLED_DOCS
     keys = [c.split()[0] for c in _COUNTS.split(", ")][:-1]
     others = [F.min(k).alias(k) for k in keys[2:]]
     # each table has a fixed number of buckets, so that the rows that come back are bounded
-    counts = rows.mapInArrow(_counted(classes), _COUNTS).groupBy(*keys[:2]).agg(*others, F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(_counted(classes), _COUNTS).groupBy(*keys[:2]).agg(*others, F.sum("n").alias("n")).toArrow()
     model = spark.sparkContext.broadcast(fit(counts))
     del counts
     fitting = {d: c for d, (c, fits) in sample.items() if fits}

@@ -56,7 +56,7 @@ def test_one_class_or_none(spark):
 def test_words_are_distributions():
     """Over all next characters the probability of each model sums to one, as Kneser-Ney's does."""
     words = ["abab", "abba", "baab"]
-    import pandas as pd
+    import pyarrow as pa
 
     rows = []
     names = ["kind", "gram", "context", "suffix", "suffix_context", "low", "low_context", "unit", "n"]
@@ -65,7 +65,7 @@ def test_words_are_distributions():
         cols = ("g4", "h3", "g3", "h2", "g2", "h1", "g1") if kind == 2 else ("g5", "h4", "g4", "h3", "g3", "h2", "g1")
         _, first, n = np.unique(keys[cols[0]], return_index=True, return_counts=True)
         rows += [[kind, *(int(keys[c][i]) for c in cols), int(m)] for i, m in zip(first, n)]
-    model = toxicity.fit(pd.DataFrame(rows, columns=names))
+    model = toxicity.fit(pa.table(dict(zip(names, zip(*rows)))))
     keys, word_of = toxicity._rolling(["a" + c for c in ["a", "b", "z"]])
     shared = model["one"][keys["g1"]]
     for (share, left), g, h in ((model["two"], "g2", "h1"), (model["three"], "g3", "h2")):
