@@ -83,10 +83,9 @@ def centres(bins: DataFrame, width: float | tuple[float, float], kind: str) -> D
 
 def trimmed(bins: DataFrame, points: DataFrame, x: str, y: str, width: float, reach: float = 1.5) -> DataFrame:
     """Bins (with centres) whose centre lies within ``reach`` widths of the points' bounding box."""
-    box = points.agg(F.min(x).alias("_l"), F.max(x).alias("_r"), F.min(y).alias("_t"), F.max(y).alias("_b"))
+    box = points.agg(F.struct(F.min(x).alias("l"), F.max(x).alias("r"), F.min(y).alias("t"), F.max(y).alias("b"))).scalar()
     room = F.lit(float(width * reach))
-    inside = F.col("x").between(F.col("_l") - room, F.col("_r") + room) & F.col("y").between(F.col("_t") - room, F.col("_b") + room)
-    return bins.join(F.broadcast(box)).filter(inside).drop("_l", "_r", "_t", "_b")  # a single row
+    return bins.filter(F.col("x").between(box["l"] - room, box["r"] + room) & F.col("y").between(box["t"] - room, box["b"] + room))
 
 
 def filled(bins: DataFrame, default: float, pad: int = 1) -> DataFrame:
@@ -144,8 +143,12 @@ def low_band_mean(df: DataFrame, keys: list[str], value: str, shares: tuple[floa
     v = stats.missing_to_null(F.col(value))
     positive = df.filter(v > 0).withColumn("_v", v)
     limits = stats.hazen(positive, keys, "_v", {"_lo": shares[0], "_hi": shares[1]})
-    rows = positive.join(limits, keys) if keys else positive.join(F.broadcast(limits))
-    inside = F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), F.col("_v"))
+    if keys:
+        rows, low, high = positive.join(limits, keys), F.col("_lo"), F.col("_hi")
+    else:
+        both = limits.select(F.struct("_lo", "_hi")).scalar()
+        rows, low, high = positive, both["_lo"], both["_hi"]
+    inside = F.when(F.col("_v").between(low, high), F.col("_v"))
     return rows.groupBy(*keys).agg(F.when(F.count("*") >= least, F.avg(inside)).alias("z"))
 
 

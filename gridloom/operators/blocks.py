@@ -64,11 +64,9 @@ def stripe(df: DataFrame, x: Column, corrected: Column, where: Column | None = N
 
 def median_3x3(surface: DataFrame, x: str = "gx", y: str = "gy", z: str = "z") -> DataFrame:
     """3 by 3 median of a grid from 0, mirrored at its edges."""
-    size = surface.agg(F.max(x).alias("_r"), F.max(y).alias("_b"))
+    size = surface.agg(F.struct(F.max(x).alias("r"), F.max(y).alias("b"))).scalar()
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
     around = surface.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.explode(step).alias("_dx")).select("*", F.explode(step).alias("_dy"))
     mirror = lambda c, d, top: F.when(c + d < 0, F.lit(0)).when(c + d > top, top).otherwise(c + d)
-    placed = around.join(F.broadcast(size)).select(  # a single row
-        "_x", "_y", mirror(F.col("_x"), F.col("_dx"), F.col("_r")).alias(x), mirror(F.col("_y"), F.col("_dy"), F.col("_b")).alias(y)
-    )
+    placed = around.select("_x", "_y", mirror(F.col("_x"), F.col("_dx"), size["r"]).alias(x), mirror(F.col("_y"), F.col("_dy"), size["b"]).alias(y))
     return placed.join(surface.select(x, y, z), [x, y]).groupBy(F.col("_x").alias(x), F.col("_y").alias(y)).agg(F.median(z).alias(z))

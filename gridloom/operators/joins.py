@@ -39,11 +39,11 @@ def from_stripe(points: DataFrame, stripe: DataFrame, x: str, name: str, step: f
     w = Window.orderBy("x")  # a stripe has one row a pixel of the image's width
     pairs = stripe.select(F.col("x").cast("double").alias("_x0"), F.col("s").alias("_s0")).withColumnRenamed("_x0", "x")
     pairs = pairs.withColumn("_x1", F.lead("x").over(w)).withColumn("_s1", F.lead("_s0").over(w)).filter("_x1 is not null").withColumnRenamed("x", "_x0")
-    ends = stripe.agg(F.min("x").cast("double").alias("_first"), F.max("x").cast("double").alias("_last"))
+    ends = stripe.agg(F.struct(F.min("x").cast("double").alias("first"), F.max("x").cast("double").alias("last"))).scalar()
     cell = lambda v: F.floor(v / F.lit(float(step))).cast("long")
     cells = pairs.select("*", F.explode(F.sequence(cell(F.col("_x0")), cell(F.col("_x1")) - 1)).alias("_c"))
-    inside = F.least(F.greatest(F.col(x).cast("double"), F.col("_first")), F.col("_last") - F.lit(step))
-    placed = points.join(F.broadcast(ends)).withColumn("_c", cell(inside))  # a single row
+    inside = F.least(F.greatest(F.col(x).cast("double"), ends["first"]), ends["last"] - F.lit(step))
+    placed = points.withColumn("_c", cell(inside))
     value = grid.linear(F.col(x).cast("double"), F.col("_x0"), F.col("_s0"), F.col("_x1"), F.col("_s1"))
     return placed.join(cells, "_c", "left").withColumn(name, value).select(*points.columns, name)
 

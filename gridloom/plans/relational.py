@@ -128,8 +128,7 @@ def summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH m AS (SELECT median(n) AS m FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)) SELECT l_suppkey AS label, round(count(*) / (SELECT m FROM m), 6) AS area FROM lineitem GROUP BY 1")
 def normalised_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features.extract(pixels(spark, sf_dir), ["label"], [features.Ellipse()]).select("label", "Shape_Area")
-    middle = f.agg(F.median("Shape_Area").alias("m"))  # one row
-    return f.join(F.broadcast(middle)).select("label", F.round(F.col("Shape_Area") / F.col("m"), 6).alias("area"))
+    return f.select("label", F.round(F.col("Shape_Area") / f.agg(F.median("Shape_Area")).scalar(), 6).alias("area"))
 
 
 def _hazen_sql(rows: str, keys: str, shares: dict[str, float]) -> str:
@@ -293,8 +292,8 @@ _TOTALS = "SELECT o_orderpriority AS cell, o_totalprice / (SELECT median(o_total
 
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    middle = orders.agg(F.median("o_totalprice").alias("m"))  # one row
-    return orders.join(F.broadcast(middle)).select(F.col("o_orderpriority").alias("cell"), (F.col("o_totalprice") / F.col("m")).alias("v"))
+    middle = orders.agg(F.median("o_totalprice")).scalar()
+    return orders.select(F.col("o_orderpriority").alias("cell"), (F.col("o_totalprice") / middle).alias("v"))
 
 
 @query(f"WITH t AS ({_TOTALS}), c AS (SELECT floor(v / 0.05) AS k, count(*) AS n FROM t GROUP BY 1) SELECT round((k + 0.5) * 0.05, 6) AS peak FROM c ORDER BY n DESC, k DESC LIMIT 1")
@@ -345,10 +344,11 @@ def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def band_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values moved so that the first band lies at 1 and the second at 2."""
     t, v = totals(spark, sf_dir), F.col("v")
-    bands = t.agg(F.median(F.when((v > 0.5) & (v < 1.5), v)).alias("g1"), F.median(F.when((v > 1.8) & (v < 2.8), v)).alias("g2"))  # one row
-    factor = F.col("g2") - F.col("g1")
-    c = Correction("S / FG_f + FG_o", {"FG_f": factor, "FG_o": 1 - F.col("g1") / factor})
-    return rounded(t.join(F.broadcast(bands)).groupBy("cell").agg(F.avg(c.column(v)).alias("corrected")))
+    medians = F.struct(F.median(F.when((v > 0.5) & (v < 1.5), v)).alias("g1"), F.median(F.when((v > 1.8) & (v < 2.8), v)).alias("g2"))
+    known = t.withColumn("bands", t.agg(medians).scalar())
+    g1, factor = F.col("bands.g1"), F.col("bands.g2") - F.col("bands.g1")
+    c = Correction("S / FG_f + FG_o", {"FG_f": factor, "FG_o": 1 - g1 / factor})
+    return rounded(known.groupBy("cell").agg(F.avg(c.column(v)).alias("corrected")))
 
 
 _CONTOUR = [(1.0, 0.5), (4.0, 0.25), (8.0, 1.5), (9.5, 3.25), (8.0, 5.75), (5.0, 6.5), (2.0, 5.25), (0.5, 2.75)]
@@ -656,6 +656,6 @@ def hex_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corners of density hexagons whose size goes with the logarithm of their count."""
     bins = binning.centres(binning.decimate(points(spark, sf_dir), "x", "y", "z", 5.0, "hexagonal", "density"), 5.0, "hexagonal")
     size = F.greatest(F.log("z"), F.lit(0.0))
-    largest = bins.agg(F.max(size).alias("m"))  # one row
-    out = bins.join(F.broadcast(largest)).select("gx", "gy", F.explode(grid.hex_corners(F.col("x"), F.col("y"), 5.0, size / F.col("m"))).alias("c"))
+    sized = bins.withColumn("m", bins.agg(F.max(size)).scalar())
+    out = sized.select("gx", "gy", F.explode(grid.hex_corners(F.col("x"), F.col("y"), 5.0, size / F.col("m"))).alias("c"))
     return out.select("gx", "gy", "c.k", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
