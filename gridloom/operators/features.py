@@ -139,6 +139,16 @@ def larger_than(objects: DataFrame, area: str, least: int = 150) -> DataFrame:
     return objects.filter(F.col(area) >= least)
 
 
+def without_border(pixels: DataFrame, keys: list[str], block: list[str], x: str, y: str, size: tuple[Column, Column]) -> DataFrame:
+    """Pixels of objects that do not touch their block's border (places from 1 to the block's size).
+
+    The touching objects are few and known from their own extremes; the pixels lose them by an anti-join.
+    """
+    ends = pixels.groupBy(*block, *keys).agg(F.min(x).alias("_l"), F.max(x).alias("_r"), F.min(y).alias("_t"), F.max(y).alias("_b"), F.first(size[0]).alias("_w"), F.first(size[1]).alias("_h"))
+    touching = ends.filter((F.col("_l") <= 1) | (F.col("_t") <= 1) | (F.col("_r") >= F.col("_w")) | (F.col("_b") >= F.col("_h")))
+    return pixels.join(touching.select(*block, *keys), [*block, *keys], "left_anti")
+
+
 def offset_intensities(features: DataFrame, offset: Column, area: str) -> DataFrame:
     """Adds an offset to integrated intensities, and its share of a pixel to means.
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import kernels
-from gridloom.operators import joins
+from gridloom.operators import features, joins
 
 BLOCK = "image_id string, channel string, bx int, by int, x0 int, y0 int, h int, w int, pixels array<float>"
 PIXEL = "image_id string, channel string, bx int, by int, label int, x int, y int, v double, distance double"
@@ -243,6 +243,24 @@ def object_pixels(blocks: DataFrame, masks: DataFrame, cleared: bool = False) ->
     return joins.blocks_with_mask(blocks, mask, keys).mapInPandas(run, PIXEL)
 
 
+def measure_basic_props(blocks: DataFrame, masks: DataFrame, block: tuple[int, int]) -> DataFrame:
+    """Centroid in the image, area and integrated intensity of the objects that touch no border of their block."""
+    offset = (F.col("bx") * block[0], F.col("by") * block[1])
+    keys = ["image_id", "channel", "bx", "by", "label"]
+    return features.FeatureExtractor([features.BasicProps("v")]).compute(object_pixels(blocks, masks, cleared=True), keys, offset=offset)
+
+
+def measure_intensity(blocks: DataFrame, masks: DataFrame) -> DataFrame:
+    """Integrated intensity alone, of the same objects."""
+    return object_pixels(blocks, masks, cleared=True).groupBy("image_id", "channel", "bx", "by", "label").agg(F.sum("v").alias("total"))
+
+
+def save_masks(masks: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Mask blocks as Parquet by channel, their pixels as booleans."""
+    out = masks.withColumn("pixels", F.transform("pixels", lambda p: p > 0))
+    out.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("channel").parquet(path)
+
+
 def channels_side_by_side(pixels: DataFrame, channels: list[str]) -> DataFrame:
     """One row a pixel with a column for each channel."""
     keys = ["image_id", "bx", "by", "label", "x", "y", "distance"]

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.names import match_option
 from gridloom.operators import features, raster
 
 OBJECT = ["image_id", "bx", "by", "label"]
@@ -42,6 +43,17 @@ class Experiment:
         less = F.transform("pixels", lambda p: (p - F.col("background")).cast("float"))
         return self._with(blocks=known.select(*(less.alias("pixels") if c == "pixels" else c for c in self.blocks.columns)))
 
+    def surface(self, name: str) -> DataFrame:
+        """A surface of the reference channel by the beginning of its name, as rows (bx, by, z)."""
+        own = self.blocks.filter(F.col("channel") == self.reference)
+        made = {
+            "threshold": lambda: raster.block_thresholds(own).withColumnRenamed("threshold", "z"),
+            "sharpness": lambda: raster.block_sharpness(own).withColumnRenamed("sharpness", "z"),
+            "background": lambda: raster.levels(own, raster.block_thresholds(own)).withColumnRenamed("background", "z"),
+            "foreground": lambda: raster.levels(own, raster.block_thresholds(own)).withColumnRenamed("foreground", "z"),
+        }
+        return made[match_option(name, list(made))]().select("image_id", "bx", "by", "z")
+
     def pixels(self) -> DataFrame:
         self._need_masks()
         return raster.channels_side_by_side(raster.object_pixels(self.blocks, self.masks), self.channels)

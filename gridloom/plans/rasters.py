@@ -83,6 +83,17 @@ def object_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.object_pixels(b, m).groupBy("bx", "by", "label").agg(F.count("*").alias("area"), F.round(F.max("distance"), 6).alias("depth"))
 
 
+@query()
+def measured_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, m = _masks(spark, sf_dir)
+    return raster.measure_basic_props(b, m, (4 * SIDE, 4 * SIDE))
+
+
+@query()
+def measured_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.measure_intensity(*_masks(spark, sf_dir))
+
+
 @query()
 def shape_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, m = _masks(spark, sf_dir)

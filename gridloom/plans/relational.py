@@ -104,6 +104,14 @@ def min_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.larger_than(f, "BasicProps_Area", 600).select("label", "BasicProps_Area")
 
 
+@query("WITH e AS (SELECT l_returnflag AS block, l_orderkey AS label, count(*) AS area, min(l_quantity) AS l, max(l_quantity) AS r FROM lineitem GROUP BY ALL) SELECT block, label, area FROM e WHERE l > 1 AND r < 50")
+def border_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    p = li.select(F.col("l_returnflag").alias("block"), F.col("l_orderkey").alias("label"), F.col("l_quantity").alias("x"), (F.col("l_linenumber") + 1).alias("y"))
+    inner = features.without_border(p, ["label"], ["block"], "x", "y", (F.lit(50), F.lit(9)))
+    return inner.groupBy("block", "label").agg(F.count("*").alias("area"))
+
+
 @query(f"SELECT label, round(avg(v), 6) AS Intensity_v_Mean, round(stddev_samp(v), 6) AS Intensity_v_Std FROM ({_PIXELS}) GROUP BY label")
 def column_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features.extract(pixels(spark, sf_dir), ["label"], [features.BasicProps("v"), features.Intensity("v")])

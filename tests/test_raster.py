@@ -153,6 +153,35 @@ def test_pixels_are_the_objects(blocks):
     assert raster.object_pixels(blocks, m, cleared=True).count() <= total
 
 
+def test_measures_and_surfaces(spark, blocks, tmp_path):
+    e = Experiment(blocks, ["DAPI"], "DAPI", raster.DistanceWatershed(50, 10)).create_object_mask()
+    props = {(r.bx, r.by, r.label): r for r in raster.measure_basic_props(blocks, e.masks, (64, 64)).collect()}
+    total = {(r.bx, r.by, r.label): r.total for r in raster.measure_intensity(blocks, e.masks).collect()}
+    assert set(props) == set(total) and all(np.isclose(total[k], r.BasicProps_Intensity_v_Integrated) for k, r in props.items())
+    assert e.surface("thr").count() == 6 and e.surface("Sharp").columns == ["image_id", "bx", "by", "z"]
+    with pytest.raises(ValueError):
+        e.surface("x")
+    raster.save_masks(e.masks, str(tmp_path / "m"))
+    assert dict(spark.read.parquet(str(tmp_path / "m")).dtypes)["pixels"] == "array<boolean>"
+
+
+def test_native_border_clearing(spark, blocks):
+    from gridloom.operators import features as f
+
+    m = raster.object_masks(blocks, raster.block_thresholds(blocks), raster.NoPartition())
+    kept = f.without_border(raster.object_pixels(blocks, m), ["label"], ["bx", "by"], "x", "y", (F.lit(64), F.lit(64)))
+    assert kept.count() == raster.object_pixels(blocks, m, cleared=True).count()
+
+
+def test_option_names():
+    from gridloom.functions.names import match_option
+
+    assert match_option("back", ["BACKGROUND", "foreground"]) == "BACKGROUND" and match_option("a", ["a", "ab"]) == "a"
+    for bad in ("", "z"):
+        with pytest.raises(ValueError):
+            match_option(bad, ["ab", "ac"])
+
+
 def test_extract_images(spark, image):
     t = tiff.read_tiles(spark, image).withColumn("channel", F.lit("DAPI"))
     objects = spark.createDataFrame([(1, 46.0, 46.0), (2, 1.0, 1.0), (3, 192.0, 128.0)], "object_id long, x double, y double")
