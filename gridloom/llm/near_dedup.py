@@ -38,7 +38,7 @@ DEVIATIONS = 5.0
 ROUNDS, SHORT, BLOCK = 2, 32, 256
 #: Documents compared with one copy of a centre.
 PER_CENTRE = 400
-MEMO_WORDS = 300_000
+MEMO_WORDS = 50_000
 #: Texts of a batch.
 BATCH = 256
 
