@@ -172,7 +172,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
-def identified_rows(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
+def identified_rows(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is determined with at least this score."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
 
