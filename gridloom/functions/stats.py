@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of value in which the ranks of a whole table are formed.
+RANGES = 1024
+
+
 def missing_to_null(v: Column) -> Column:
     """NaN marks what is missing; as null, aggregates leave it out."""
     return F.nullif(v.cast("double"), F.lit(float("nan")))
@@ -42,41 +46,39 @@ def ellipse(x: Column, y: Column) -> dict[str, Column]:
 def hazen(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], where: Column | None = None) -> DataFrame:
     """Percentiles of ``value`` by key: positions n * p + 0.5, linear between, clamped at the ends.
 
-    Ranking is a sort of each key's values, which spills; nulls and NaN are left out.
+    Equal values are counted before anything is ranked, with partial counts on the map side; only distinct
+    values are sorted, a key's by a window that spills, and those of a whole table in ranges of value, so
+    that no task sorts them all. Nulls and NaN are left out.
     """
     v = missing_to_null(F.col(value))
     rows = df.filter(where) if where is not None else df
-    rows = rows.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
-    if not keys:
-        return _hazen_whole(rows, shares)
-    by = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_i", F.row_number().over(by.orderBy("_v"))).withColumn("_n", F.count("*").over(by))
+    counted = rows.select(*keys, v.alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    if keys:
+        by = Window.partitionBy(*keys)
+        ranked = counted.withColumn("_hi", F.sum("_c").over(by.orderBy("_v"))).withColumn("_n", F.sum("_c").over(by))
+    else:
+        span = counted.agg(F.struct(F.min("_v").alias("low"), F.max("_v").alias("high"))).scalar()
+        place = F.floor((F.col("_v") - span["low"]) / F.nullif(span["high"] - span["low"], F.lit(0.0)) * RANGES)
+        parted = counted.withColumn("_p", F.coalesce(F.least(place, F.lit(RANGES - 1)), F.lit(0)).cast("int"))
+        totals = parted.groupBy("_p").agg(F.sum("_c").alias("_t"))  # a row a range
+        starts = totals.select("_p", (F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).alias("_s"), F.sum("_t").over(Window.partitionBy()).alias("_n"))
+        up_to = F.sum("_c").over(Window.partitionBy("_p").orderBy("_v"))
+        ranked = parted.join(F.broadcast(starts), "_p").withColumn("_hi", F.col("_s") + up_to)
+    ranked = ranked.withColumn("_lo", F.col("_hi") - F.col("_c") + 1)
     return ranked.groupBy(*keys).agg(*(_weighted(p).alias(name) for name, p in shares.items()))
 
 
 def _weighted(p: float) -> Column:
-    n, i = F.col("_n").cast("double"), F.col("_i").cast("double")
+    """The sum over a value's ranks of its weight: only the two ranks next to the position have any."""
+    n = F.col("_n").cast("double")
     at = F.least(F.greatest(n * F.lit(float(p)) + 0.5, F.lit(1.0)), n)
-    return F.sum(F.col("_v") * F.greatest(F.lit(0.0), 1 - F.abs(i - at)))
-
-
-def _hazen_whole(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """Without a key: distinct values are counted first and only their running counts are ranked, by ranges
-    of value, so that no task sorts all rows."""
-    counted = rows.groupBy("_v").agg(F.count("*").alias("_c"))
-    parted = counted.repartitionByRange("_v").withColumn("_p", F.spark_partition_id())
-    before = parted.groupBy("_p").agg(F.sum("_c").alias("_t"))
-    starts = before.select("_p", (F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).alias("_s"), F.sum("_t").over(Window.partitionBy()).alias("_n"))
-    up_to = F.sum("_c").over(Window.partitionBy("_p").orderBy("_v"))
-    ranked = parted.join(F.broadcast(starts), "_p").withColumn("_hi", F.col("_s") + up_to).withColumn("_lo", F.col("_hi") - F.col("_c") + 1)
-
-    def weight(p: float) -> Column:
-        n = F.col("_n").cast("double")
-        at = F.least(F.greatest(n * F.lit(float(p)) + 0.5, F.lit(1.0)), n)
-        total = F.lit(0.0)
-        for i in (F.floor(at), F.floor(at) + 1):  # the two ranks next to the position
-            held = (i >= F.col("_lo")) & (i <= F.col("_hi"))
-            total = total + F.when(held, F.greatest(F.lit(0.0), 1 - F.abs(i - at))).otherwise(0.0)
-        return F.sum(F.col("_v") * total)
-
-    return ranked.agg(*(weight(p).alias(name) for name, p in shares.items()))
+    total = F.lit(0.0)
+    for rank in (F.floor(at), F.floor(at) + 1):
+        held = (rank >= F.col("_lo")) & (rank <= F.col("_hi"))
+        total = total + F.when(held, F.greatest(F.lit(0.0), 1 - F.abs(rank - at))).otherwise(0.0)
+    return F.sum(F.col("_v") * total)
+
+
+def median_of(df: DataFrame, value: str, where: Column | None = None) -> Column:
+    """The median of a whole table's column, as a scalar subquery."""
+    return hazen(df, [], value, {"m": 0.5}, where).scalar()

@@ -66,9 +66,11 @@ def decimate(
 
 
 def median_deviation(df: DataFrame, z: str) -> float:
-    v = stats.missing_to_null(F.col(z))
-    m = df.agg(F.median(v)).first()[0]
-    return float(df.agg(F.median(F.abs(v - F.lit(m)))).first()[0]) if m is not None else 0.0
+    middle = stats.hazen(df, [], z, {"m": 0.5}).first().m
+    if middle is None:
+        return 0.0
+    apart = df.select(F.abs(stats.missing_to_null(F.col(z)) - F.lit(middle)).alias("d"))
+    return float(stats.hazen(apart, [], "d", {"m": 0.5}).first().m)
 
 
 def centres(bins: DataFrame, width: float | tuple[float, float], kind: str) -> DataFrame:

@@ -172,19 +172,16 @@ def columns_named(df: DataFrame, exact: str | None = None, prefix: str | None =
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: min, mean, max, deviation, mean absolute deviation, median, zeros and missing values.
 
-    The mean that absolute deviations need comes from a first aggregate of one row.
+    One aggregate serves all columns, a second one the deviations from the means; medians rank distinct
+    values in ranges. No task holds a whole column.
     """
-    values = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
-    long = values.unpivot([], columns, "feature", "v").withColumn("v", stats.missing_to_null(F.col("v")))
-    means = long.groupBy("feature").agg(F.avg("v").alias("m"))
-    known = long.join(F.broadcast(means), "feature")  # one row a column of the schema
-    return known.groupBy("feature").agg(
-        F.min("v").alias("minX"),
-        F.avg("v").alias("meanX"),
-        F.max("v").alias("maxX"),
-        F.stddev_samp("v").alias("stdX"),
-        F.avg(F.abs(F.col("v") - F.col("m"))).alias("madX"),
-        F.median("v").alias("medianX"),
-        F.count_if(F.col("v") == 0).alias("is0"),
-        F.count_if(F.col("v").isNull()).alias("isNan"),
-    )
+    values = df.select(*(stats.missing_to_null(F.col(c)).alias(c) for c in columns))
+    one = [
+        F.struct(F.min(c).alias("minX"), F.avg(c).alias("meanX"), F.max(c).alias("maxX"), F.stddev_samp(c).alias("stdX"), F.count_if(F.col(c) == 0).alias("is0"), F.count_if(F.col(c).isNull()).alias("isNan")).alias(c)
+        for c in columns
+    ]
+    first = values.agg(*one)
+    means = first.select(F.struct(*(F.col(f"{c}.meanX").alias(c) for c in columns))).scalar()
+    second = values.agg(F.struct(*(F.avg(F.abs(F.col(c) - means[c])).alias(c) for c in columns))).scalar()
+    rows = [F.struct(F.lit(c).alias("feature"), *(F.col(f"{c}.{n}").alias(n) for n in ("minX", "meanX", "maxX", "stdX", "is0", "isNan")), second[c].alias("madX"), stats.median_of(values, c).alias("medianX")) for c in columns]
+    return first.select(F.explode(F.array(*rows)).alias("r")).select("r.*").select("feature", "minX", "meanX", "maxX", "stdX", "madX", "medianX", "is0", "isNan")

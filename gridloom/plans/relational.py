@@ -136,7 +136,7 @@ def summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH m AS (SELECT median(n) AS m FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)) SELECT l_suppkey AS label, round(count(*) / (SELECT m FROM m), 6) AS area FROM lineitem GROUP BY 1")
 def normalised_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features.extract(pixels(spark, sf_dir), ["label"], [features.Ellipse()]).select("label", "Shape_Area")
-    return f.select("label", F.round(F.col("Shape_Area") / f.agg(F.median("Shape_Area")).scalar(), 6).alias("area"))
+    return f.select("label", F.round(F.col("Shape_Area") / stats.median_of(f, "Shape_Area"), 6).alias("area"))
 
 
 def _hazen_sql(rows: str, keys: str, shares: dict[str, float]) -> str:
@@ -300,7 +300,7 @@ _TOTALS = "SELECT o_orderpriority AS cell, o_totalprice / (SELECT median(o_total
 
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    middle = orders.agg(F.median("o_totalprice")).scalar()
+    middle = stats.median_of(orders, "o_totalprice")
     return orders.select(F.col("o_orderpriority").alias("cell"), (F.col("o_totalprice") / middle).alias("v"))
 
 
@@ -352,9 +352,8 @@ def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def band_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values moved so that the first band lies at 1 and the second at 2."""
     t, v = totals(spark, sf_dir), F.col("v")
-    medians = F.struct(F.median(F.when((v > 0.5) & (v < 1.5), v)).alias("g1"), F.median(F.when((v > 1.8) & (v < 2.8), v)).alias("g2"))
-    known = t.withColumn("bands", t.agg(medians).scalar())
-    g1, factor = F.col("bands.g1"), F.col("bands.g2") - F.col("bands.g1")
+    known = t.withColumn("g1", stats.median_of(t, "v", (v > 0.5) & (v < 1.5))).withColumn("g2", stats.median_of(t, "v", (v > 1.8) & (v < 2.8)))
+    g1, factor = F.col("g1"), F.col("g2") - F.col("g1")
     c = Correction("S / FG_f + FG_o", {"FG_f": factor, "FG_o": 1 - g1 / factor})
     return rounded(known.groupBy("cell").agg(F.avg(c.column(v)).alias("corrected")))
 
