@@ -75,3 +75,32 @@ def test_words_are_distributions():
     second = p[[1, 4, 7]]  # P(a|^a), P(b|^a), P(z|^a)
     assert second[1] > second[0] > second[2] > 0 and second.sum() < 1
     assert np.allclose(toxicity.word_ratios(model, words), 0)
+
+
+def test_counts_grow_with_the_corpus(spark):
+    """Every n-gram has its own count, however many there are, as in strings."""
+    from collections import Counter
+
+    g = np.random.default_rng(5)
+    words = {"".join(map(chr, g.integers(0x4E00, 0x9F00, 6))) for _ in range(12_000)}
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string").repartition(3)
+    found = toxicity.orders(docs.mapInArrow(toxicity._counted(spark.sparkContext.broadcast({})), toxicity._COUNTS)).collect()
+    grams = {("\x02\x02\x02\x02" + w + "\x03")[k - 3 : k + 1] for w in words for k in range(4, len(w) + 5)}
+    want = {}
+    for order in (3, 2, 1):
+        want[order] = Counter(x[1:] for x in grams)
+        grams = set(want[order])
+    for order, counts in want.items():
+        assert Counter(r.n for r in found if r.order == order) == Counter(counts.values())
+
+
+def test_join_gives_what_broadcast_gives(spark):
+    docs, labels = corpus(300)
+    docs += [(5000, None), (5001, "... 12"), (5002, "scum"), (None, "tha er scum scum"), (0, docs[0][1])]
+    d, one = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    a, b = (sorted(toxicity.score(d, one, broadcast_grams=n).collect(), key=key) for n in (10**9, 0))
+    assert [(r.doc_id, r.held_out, r.predicted) for r in a] == [(r.doc_id, r.held_out, r.predicted) for r in b]
+    assert np.allclose([r[2:-1] for r in a], [r[2:-1] for r in b], atol=1e-7)
+    kept = [sorted(map(key, toxicity.clean_rows(d, one, broadcast_grams=n).collect())) for n in (10**9, 0)]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < len(docs)
