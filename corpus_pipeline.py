@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of 1024 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, added=packing.default_added_tokens())
 
 
 STAGES = [("language_id", language), ("toxicity", toxic), ("near_dedup", near_duplicates), ("packing", pack)]

@@ -8,6 +8,8 @@ their number. Only underfull bins move; the pieces stay where they were written.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -60,17 +62,34 @@ def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(a, capacity) for a in range(first, length, capacity)]
 
 
+def default_added_tokens() -> dict[str, int]:
+    """The added tokens of the tokenizer's file, which it finds in a text before it splits and merges."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    for t in found:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+            raise ValueError(f"added token with options: {t}")
+    return {t["content"]: t["id"] for t in found}
+
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, bin_offset int, fill int"
 _PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
-def _packed_pieces(vocabulary: str, pattern: str, capacity: int, end_id: int):
+def _packed_pieces(vocabulary: str, pattern: str, capacity: int, end_id: int, added: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = UnitEncoder(encoding(vocabulary, pattern).encode_ordinary, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
         end, pieces = struct.pack("<I", end_id), []
+        own = {t: struct.pack("<I", i) for t, i in added.items()}
+        split = re.compile("(" + "|".join(map(re.escape, own)) + ")").split if own else None
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = b"".join([*enc.units(text), end])
+                if own and any(t in text for t in own):  # the texts between added tokens are encoded each on its own
+                    ids = b"".join([own[part] if k % 2 else b"".join(enc.units(part)) for k, part in enumerate(split(text))] + [end])
+                else:
+                    ids = b"".join([*enc.units(text), end])
                 for k, (a, n) in enumerate(cuts(len(ids) // 4, capacity)):
                     pieces.append((n, doc_id, k, a, zlib.crc32(ids[4 * a : 4 * (a + n)])))
         # the order within a partition of files is fixed, so a task that runs again gives the same bins
@@ -120,15 +139,17 @@ def pack(
     fan_in: int = FAN_IN,
     vocabulary: str | None = None,
     pattern: str | None = None,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per piece with its sequence and its place there.
 
     A document is its ids and then ``end_id``; a null or empty text is ``end_id`` alone. Repeated rows and
-    null ids are documents of their own. Other columns of ``docs`` are not read. An empty table gives no rows.
+    null ids are documents of their own. ``added`` has ids of tokens that are taken out of a text before it is
+    encoded; without it such a token is text. Other columns of ``docs`` are not read. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     partitions = max(1, rows.rdd.getNumPartitions())
-    pieces = materialise(rows.mapInArrow(_packed_pieces(vocabulary or default_vocabulary(), pattern or default_pattern(), capacity, end_id), _PIECES), "pieces")
+    pieces = materialise(rows.mapInArrow(_packed_pieces(vocabulary or default_vocabulary(), pattern or default_pattern(), capacity, end_id, added or {}), _PIECES), "pieces")
     is_open = F.col("fill") < capacity - slack
     bins = pieces.filter(is_open & (F.col("bin_offset") == 0)).select(
         "bin", "fill", F.array(F.struct(F.col("bin"), F.lit(0).cast("int").alias("base"))).alias("members")
@@ -160,4 +181,4 @@ def pack(
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added=default_added_tokens())

@@ -71,3 +71,13 @@ def test_best_fit_against_search():
             want.append(b)
         got = packing.best_fit(sizes, 20)
         assert sorted(sum(sizes[i] for i in b) for b in got) == sorted(fills)
+
+
+def test_added_tokens_as_the_tokenizer_has_them(spark, tmp_path):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  ", "<|endoftext|", "a  <|endoftext|>\n b <|EndOfText|>", "plain words", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.op3_packing(spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert got[k] == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))), text
