@@ -149,7 +149,7 @@ def channel_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stripe_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _objects(spark, sf_dir).filter("id % 5 <> 0").withColumn("v", (1 + 0.1 * F.sin(2 * np.pi * F.col("x") / 0.5)))
+    o = _objects(spark, sf_dir).withColumn("v", (1 + 0.1 * F.sin(2 * np.pi * F.col("x") / 0.5)))
     s = surface.fit_stripe(o, "x", "v", 0.02)
     return spark.createDataFrame([(float(a), float(b)) for a, b in zip(s.x, s.s)], "x double, s double")
 

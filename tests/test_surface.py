@@ -103,3 +103,14 @@ def test_reducers_by_pandas_udf(spark):
     df = spark.createDataFrame([(0.1, 0.1, 1.0), (0.2, 0.2, 4.0), (0.9, 0.9, 2.0)], "x double, y double, z double")
     assert sorted(r.z for r in binning.decimate(df, "x", "y", "z", 0.5, reducer=spread).collect()) == [0.0, 3.0]
     assert [r.z for r in blocks.background(df.withColumn("k", F.lit(1)), ["k"], "z", F.lit(0.0)).collect()] == [0.0]
+
+
+def test_stripe_fit_reads_all_objects(spark, monkeypatch):
+    from gridloom.plans import rasters
+
+    orders = spark.range(1000).selectExpr("id AS o_orderkey", "id * 7 AS o_custkey", "id + 0.5 AS o_totalprice")
+    monkeypatch.setattr(rasters, "table", lambda *a: orders)
+    read, fit = [], rasters.surface.fit_stripe
+    monkeypatch.setattr(rasters.surface, "fit_stripe", lambda points, *a: read.append(points.count()) or fit(points, *a))
+    assert rasters.stripe_fit(spark, "").count() > 0
+    assert read == [1000]
