@@ -62,8 +62,9 @@ RULES = [
     ("CC-BY-4.0", ["cc_by_work"]),
     ("LicenseRef-all-rights-reserved", ["reserved"]),
 ]
-#: What every known sentence holds at least one of. Texts without are not split.
-HINT = "icen|ermission|rights reserved|edistribution|free software|warranty|opyright|ICEN|ERMISSION|RIGHTS RESERVED|EDISTRIBUTION|FREE SOFTWARE|WARRANTY|OPYRIGHT|Rights Reserved|Free Software|Rights reserved|Warranty"
+#: What every known sentence holds at least one of, in lower case and with what normalisation makes one space. Texts
+#: without hold no known sentence and are not split.
+HINT = "icen|ermission|rights[^a-z0-9]+reserved|edistribution|free[^a-z0-9]+software|warranty|opyright"
 #: A sentence ends at its mark before white space, at an empty line, and at a line that does not go on in
 #: lower case. Each step puts a mark of its own between sentences.
 _MARK = "\x01"
@@ -91,7 +92,7 @@ def recognise(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
     found = F.filter(F.transform(sentences(text), lambda s: F.element_at(known, s)), lambda i: i.isNotNull())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(HINT), F.array_join(found, " ")).otherwise("").alias("sentence_ids"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.lower(text).rlike(HINT), F.array_join(found, " ")).otherwise("").alias("sentence_ids"))
     rows = rows.withColumn("left", F.when(F.col("sentence_ids") == "", "").otherwise(F.concat(F.lit("<"), F.replace("sentence_ids", F.lit(" "), F.lit("><")), F.lit(">"))))
     names = []
     for k, (_, ids) in enumerate(RULES):

@@ -57,3 +57,15 @@ def test_every_rule_is_known_and_hinted():
 
 def test_empty(spark):
     assert licenses.recognise(frame(spark, DOCS).limit(0)).count() == 0
+
+
+def test_hint_rejects_no_spelling(spark):
+    """What is known after normalisation is known in every spelling, as in the SQL."""
+    texts = ["All rights\nreserved.", "All rights\u00a0reserved", "All rights### reserved.", "all Rights reserved", "ALL rights  RESERVED!", "x.\nAlL rIgHtS rEsErVeD", "lICENSED UNDER cc by 4.0", "All rights. Reserved"]
+    texts += [s.upper().replace(" ", " *\u00a0") for s in licenses.SENTENCES.values()] + [s.title().replace(" ", "_") for s in licenses.SENTENCES.values()]
+    df = frame(spark, [(i, t, "") for i, t in enumerate(texts)])
+    got = rows(licenses.recognise(df))
+    assert [n for *_, n in got[:8]] == [1, 1, 1, 1, 1, 1, 1, 0] and all(ids for _, ids, _, _ in got[8:])
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert sorted(con.sql(licenses.OP9_SQL).fetchall()) == got
