@@ -58,6 +58,16 @@ BOILERPLATE = frozenset(
     " comment comments commentlist disqus respond reply replies discussion widget widgets pagination pager toolbar skip search form"
     " hidden offscreen".split()
 )
+#: Inside an article a word alone is not enough: whole class tokens and roles of widgets leave an element out there.
+WIDGETS = frozenset(
+    "ad ads advert adverts advertisement advertisements adsbygoogle sponsored promo share-bar share-buttons share-links social-share social-links sharedaddy"
+    " newsletter newsletter-signup related-posts related-articles recommended-posts comments comment comment-list commentlist breadcrumb breadcrumbs pagination"
+    " sidebar navbar cookie-notice cookie-banner paywall popup modal".split()
+)
+WIDGET_ROLES = frozenset("navigation complementary contentinfo banner search dialog alertdialog alert menu menubar".split())
+#: Ids of an article's reader comments, if the element holds articles of its own.
+COMMENT_IDS = frozenset("comments comment-list commentlist".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words that mean so only outside an article.
 BOILERPLATE_OUTSIDE = frozenset("header topbar top bottom tags".split())
 _ARTICLE = frozenset("article articlebody".split())
@@ -74,7 +84,8 @@ class Element:
     __slots__ = ("tag", "parent", "parts", "flag", "chars", "hash", "root", "holds_heading")
 
     def __init__(self, tag: str, parent: Element | None, flag: int):
-        #: flag: 0 text, 1 boilerplate by class or form, 2 never text. root: 1 article, 2 main.
+        #: flag: 0 text, 1 boilerplate by class or form, 2 never text; until measured -1 and -4 boilerplate outside an
+        #: article only, -3 also where it holds articles. root: 1 article, 2 main.
         self.tag, self.parent, self.flag = tag, parent, flag
         self.parts: list = []
         self.chars, self.hash, self.root, self.holds_heading = 0, 0, 0, False
@@ -94,7 +105,16 @@ def _flag(tag: str, attributes: str) -> tuple[int, int]:
                     root = root or 2
                 if tag not in ("html", "body", "main"):
                     if words & BOILERPLATE:
-                        flag = max(flag, 1)
+                        known = value.lower()
+                        if tag in HEADINGS:
+                            own = 0 if name == "id" else -4
+                        elif name == "id":
+                            own = -3 if known.strip() in COMMENT_IDS else -4
+                        else:
+                            own = 1 if known.strip() in WIDGET_ROLES and name == "role" or name == "class" and not WIDGETS.isdisjoint(known.split()) else -4
+                        flag = 1 if flag == 1 or own == 1 else min(flag, own) if -3 not in (flag, own) else -3
+                    elif flag < -1:
+                        continue
                     elif words & BOILERPLATE_OUTSIDE:
                         flag = max(flag, -1) if flag else -1
             elif name == "itemprop" and value.lower() in _ARTICLE:
@@ -171,6 +191,10 @@ def _measure(e: Element, in_article: bool) -> None:
     while stack:
         x, inside, done = stack.pop()
         if not done:
+            if x.flag == -3:
+                x.flag = 0 if inside and not any(y.root == 1 for y in _walk(x)) else 1
+            elif x.flag == -4:  # an article that is labelled so is a reader's or a teaser
+                x.flag = 0 if inside and x.root != 1 else 1
             inside = inside or x.root > 0 and x.flag <= 0
             if x.flag == -1:
                 x.flag = 0 if inside else 1

@@ -75,3 +75,20 @@ def test_odd_rows(spark):
 def test_code_points(spark):
     df = spark.createDataFrame([(1, "http://e/", "<p>a&#128512;é</p>")], "page_id long, url string, html string")
     assert [(r.text, r.n_chars) for r in H.extract(df).collect()] == [("a😀é", 3)]
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<section id='discussion'><h2>t</h2><p>u</p></section>",
+        "<h2 id='related-work'>t</h2><p>u</p>",
+        "<h2 id='search'>t</h2><p>u</p>",
+        "<div class='reply-brief'>t <p>u</p></div>",
+        "<p id='social-impact'>t</p><p>u</p>",
+        "<h3 id='form-of-government'>t</h3><p id=share>u</p>",
+        "<section id='comments'><h2 class='sub notice-heading'>t</h2><p>u</p></section>",
+    ],
+)
+def test_slugs_inside_articles_stay(part):
+    assert one(f"<article><p>a</p>{part}<div class='x ad'>b</div><div role=navigation>c</div></article>") == "a t u"
+    assert one(f"<main><p>a</p>{part}<div class='x ad'>b</div></main>") == "a t u"
