@@ -11,6 +11,7 @@ again by a later one. What is left of short statements ("licensed under ...") na
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,9 +135,12 @@ RULES = [
     ("CC0-1.0", ["cc0_dedicated"]),
     ("LicenseRef-all-rights-reserved", ["reserved"]),
 ]
-#: Steps of the normalisation: a boundary is marked by a pair of these, so that neighbouring sentences have one each.
+#: Steps of the normalisation: a boundary is marked by a pair of these, so that neighbouring sentences have one each. The
+#: second leaves single spaces alone, which are most of what it would replace by themselves. Its class lists characters:
+#: Java looks those up in a table, and tests ranges one by one.
 _MARK = "\x01"
-_STEPS = [(r"[.!?;:][\"')\]]?[ \t\r\n\f]|\n", _MARK), (f"[^a-zA-Z0-9{_MARK}]+", " "), (f" ?{_MARK}[ {_MARK}]*", _MARK * 2)]
+_ALNUM = string.ascii_letters + string.digits
+_STEPS = [(r"[.!?;:][\"')\]]?[ \t\r\n\f]|\n", _MARK), (f"[^{_ALNUM} {_MARK}][^{_ALNUM}{_MARK}]*| [^{_ALNUM}{_MARK}]+", " "), (f" ?{_MARK}[ {_MARK}]*", _MARK * 2)]
 _BETWEEN = f"[ {_MARK}]+"
 #: From a sentence as found to the one that is looked up: boundaries inside it, names that fill a star, leads of statements.
 _TO_KNOWN = [
@@ -200,7 +204,7 @@ def recognise(docs: DataFrame) -> DataFrame:
     for k, (_, ids) in enumerate(RULES):
         pattern = _rule_pattern(ids)
         names.append(f"rule{k}")
-        rows = rows.withColumn(names[-1], F.col("left").rlike(pattern)).withColumn("left", F.regexp_replace("left", pattern, "<>"))
+        rows = rows.withColumns({names[-1]: F.col("left").rlike(pattern), "left": F.regexp_replace("left", pattern, "<>")})
     by_rule = F.array_compact(F.array(*(F.when(F.col(n), F.lit(name)) for n, (name, _) in zip(names, RULES))))
     matched = F.array_distinct(F.concat(by_rule, F.regexp_extract_all("left", F.lit("<is:([^>]+)>"), 1)))
     return rows.select("doc_id", "sentence_ids", F.array_join(matched, ",").alias("licenses"), F.size(matched).cast("long").alias("n_licenses"))
