@@ -6,8 +6,9 @@ across many of them are the site's template and are deleted, wherever they stand
 or class says that they are menus, headers, footers, sidebars, notices, adverts, forms or reader comments
 are left out even where a site has too few pages to tell.
 
-A page's copies would make its own paragraphs recur: pages of one host that share their two longest blocks
-count as one page.
+A page's copies would make its own paragraphs recur. So pages are counted by what is their own: of a page's blocks those
+are left out that recur on as many different pages of the host as a template does, and pages that have the rest in
+common count as one, however long or short the template is.
 """
 
 from __future__ import annotations
@@ -273,8 +274,12 @@ def _roots(top: Element) -> list[Element]:
     return sorted(out, key=lambda x: order[id(x)])
 
 
-def blocks(page: str) -> tuple[list[str], list[list[int]], int]:
-    """A page's blocks of text in order, the hashes of the subtrees that hold each, and a hash of the longest blocks.
+def _text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def blocks(page: str) -> tuple[list[str], list[list[int]]]:
+    """A page's blocks of text in order, and the hashes of the subtrees that hold each.
 
     A hash's lowest bit tells whether the subtree stands inside an article.
     """
@@ -316,46 +321,63 @@ def blocks(page: str) -> tuple[list[str], list[list[int]], int]:
                     stack.append((None, own))
                     stack += [(p, own) for p in reversed(x.parts)]
         flush()
-    longest = "\x1f".join(sorted(texts, key=len)[-2:])  # one of the two may be template
-    return texts, marks, xxhash.xxh3_64_intdigest(longest.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return texts, marks
 
 
-_PARSED = "page_id long, url string, host string, signature long, texts array<string>, marks array<array<long>>"
+_PARSED = "page_id long, url string, host string, whole long, hashes array<long>, texts array<string>, marks array<array<long>>"
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())))
+    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())))
     for batch in batches:
         for a in range(0, batch.num_rows, 200):
             part, out = batch.slice(a, 200), []
             for page_id, url, page in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                texts, marks, signature = blocks(page)
+                texts, marks = blocks(page)
                 m = _HOST.match(url)
                 texts = [t.encode("utf-8", "replace").decode() for t in texts]
-                out.append((page_id, url, m[1].lower() if m else "", signature, texts, marks))
+                hashes = list(dict.fromkeys(map(_text_hash, texts)))
+                out.append((page_id, url, m[1].lower() if m else "", _text_hash("\x1f".join(texts)), hashes, texts, marks))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [c.split()[0] for c in _PARSED.split(", ")])
 
 
+def _recurring(seen: DataFrame, of: DataFrame, what: str, share, least_pages: int) -> DataFrame:
+    """``host`` and the array ``found`` of the values of ``what`` that recur in enough of the host's pages, as a table.
+
+    ``seen`` has a row for each page and value, ``of`` the pages of each host. A page has few values and those found are on
+    a share of the pages, so a host has a bounded number of them.
+    """
+    counted = seen.groupBy("host", what).agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
+    enough = counted.join(of, "host").filter(F.col("pages") >= share * F.col("of"))
+    return materialise(enough.groupBy("host").agg(F.collect_set(what).alias("found")), what)
+
+
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, share_in_article: float = SHARE_IN_ARTICLE) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row: the article, with blocks joined by one space.
 
     A null or empty page has an empty text. Pages without a url, or with one that names no host, count as
-    one host; their url stays as it is. Repeated rows each keep their row and count as one page. Other
-    columns are not read.
+    one host; their url stays as it is. Repeated rows each keep their row and count as one page, as do pages that differ in
+    template only. A subtree that recurs in exactly the share of the pages is template. Extremely long and deeply nested
+    pages are parsed whole, without recursion. An empty table gives no rows. Other columns are not read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     parsed = rows.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.col("url").isNull().alias("no_url"), "html")
     parsed = materialise(
         parsed.select("page_id", F.when(F.col("no_url"), F.lit("\x00")).otherwise(F.col("url")).alias("url"), "html").mapInArrow(_parsed, _PARSED), "pages"
     )
-    # (host, page, subtree) once for all copies of a page
-    seen = parsed.select("host", "signature", F.explode(F.array_distinct(F.flatten("marks"))).alias("mark")).distinct()
-    found = seen.groupBy("host", "mark").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
-    sizes = parsed.select("host", "signature").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    needed = F.when(F.col("mark") % 2 == 0, F.lit(share)).otherwise(F.lit(share_in_article)) * F.col("of")
-    # a page has few subtrees and a template is a share of the pages, so a host has a bounded number of templates
-    templates = materialise(found.join(sizes, "host").filter(F.col("pages") >= needed).groupBy("host").agg(F.collect_set("mark").alias("template")), "templates")
-    joined = parsed.join(small_or_shuffled(templates), "host", "left").withColumn("template", F.coalesce("template", F.array().cast("array<long>")))
+    none = F.array().cast("array<long>")
+    # equal pages once; then what is a page's own
+    different = parsed.select("host", "whole", "hashes").dropDuplicates(["host", "whole"])
+    sizes = parsed.select("host", "whole").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    common = _recurring(different.select("host", F.explode("hashes").alias("block")), sizes, "block", F.lit(share), least_pages)
+    own = F.array_except("hashes", F.coalesce("found", none))
+    signed = parsed.select("host", "whole", "hashes", "marks").join(small_or_shuffled(common), "host", "left")
+    signed = signed.select("host", F.when(F.size(own) > 0, F.xxhash64(F.array_sort(own))).otherwise(F.col("whole")).alias("signature"), "marks")
+    # (host, page, subtree) once for all pages that count as one
+    seen = signed.select("host", "signature", F.explode(F.array_distinct(F.flatten("marks"))).alias("mark")).distinct()
+    sizes = signed.select("host", "signature").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    templates = _recurring(seen, sizes, "mark", F.when(F.col("mark") % 2 == 0, F.lit(share)).otherwise(F.lit(share_in_article)), least_pages)
+    joined = parsed.join(small_or_shuffled(templates), "host", "left").withColumn("template", F.coalesce("found", none))
     kept = F.filter(F.arrays_zip("texts", "marks"), lambda b: ~F.arrays_overlap(b["marks"], F.col("template")))
     text = F.array_join(F.transform(kept, lambda b: b["texts"]), " ")
     out = joined.select("page_id", F.when(F.col("url") != "\x00", F.col("url")).alias("url"), text.alias("text"))
@@ -363,4 +385,5 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`extract` of all pages; its docstring states the odd cases."""
     return extract(table(spark, sf_dir, "pages"))

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 
 from gridloom.llm import html_text as H
@@ -64,6 +67,49 @@ def test_widget_inside_articles(spark):
     assert run(spark, pages) == {i: f"paragraph {i} here" for i in range(10)}
 
 
+def test_long_templates(spark):
+    """Two blocks of template that are longer than the article go."""
+    long = ["".join(f" template {k} word{i}" for i in range(30)) for k in range(2)]
+    own = [f"this is the text of page number {i}, which is not so long" for i in range(30)]
+    pages = [(i, "http://t.example/x", f"<div><div>{long[0]}</div><div>{own[i]}</div><div>{long[1]}</div></div>") for i in range(30)]
+    assert run(spark, pages) == dict(enumerate(own))
+
+
+def brute(pages):
+    """Template deletion by dictionaries, from the blocks of each page."""
+    parsed = [(i, H._HOST.match(u)[1], *H.blocks(p)) for i, u, p in pages]
+    out = {}
+    for host in {h for _, h, _, _ in parsed}:
+        rows = [(i, t, m) for i, h, t, m in parsed if h == host]
+        different = {tuple(t): set(t) for _, t, _ in rows}
+        on = Counter(b for t in different.values() for b in t)
+        common = {b for b, n in on.items() if n >= 5 and n >= 0.1 * len(different)}
+        sign = lambda t: frozenset(set(t) - common) or tuple(t)
+        marks = Counter(x for x, _ in {(x, sign(t)) for _, t, ms in rows for m in ms for x in m})
+        of = len({sign(t) for _, t, _ in rows})
+        template = {x for x, n in marks.items() if n >= 5 and n >= (0.3 if x % 2 else 0.1) * of}
+        for i, t, ms in rows:
+            out[i] = " ".join(b for b, m in zip(t, ms) if not template & set(m))
+    return out
+
+
+def test_deletion_against_brute_force(spark):
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    words = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    pages = []
+    for host in range(4):
+        boxes = [f"<div><b>{words(r.choice([2, 30]))}</b><p>{words(4)}</p></div>" for _ in range(5)]
+        for k in range(r.choice([3, 12, 40])):
+            body = [f"<p>{words(r.randrange(1, 20))}</p>" for _ in range(r.randrange(1, 4))]
+            body += [b for n, b in enumerate(boxes) if r.random() < (0.9, 0.5, 0.25, 0.08, 0.9)[n]]
+            r.shuffle(body)
+            tag = r.choice(["article", "div"]) if host else "article"
+            for _ in range(r.choice([1, 1, 7])):
+                pages.append((len(pages), f"https://h{host}.example/{k}", f"<body>{r.choice(boxes)}<{tag}>{''.join(body)}</{tag}></body>"))
+    assert run(spark, pages) == brute(pages)
+
+
 def test_odd_rows(spark):
     pages = [(1, None, None), (2, "no host", ""), (None, "http://e/", "<p>x</p>"), (3, None, "<p>" + "word " * 200_000 + "</p>"), (3, None, "<p>" + "word " * 200_000 + "</p>")]
     df = spark.createDataFrame([(*p, "clash", "clash", 1) for p in pages], SCHEMA)
