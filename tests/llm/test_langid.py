@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -53,3 +54,39 @@ def test_mixture_against_direct_maximum():
 def test_nothing_learnt(spark):
     assert [r.lang_pred for r in run(spark, [(1, "text", None)])] == ["und"]
     assert run(spark, []) == []
+
+
+def test_set_against_all_subsets():
+    """The set that is chosen has the highest penalised likelihood of all sets of languages."""
+    g = np.random.default_rng(4)
+    for trial in range(12):
+        logs = np.log(g.dirichlet(np.full(60, 0.3), 4).T + 1e-6)
+        true = g.choice(4, g.integers(1, 4), replace=False)
+        weight = g.dirichlet(np.full(len(true), 8.0))
+        counts = g.multinomial(600, (np.exp(logs[:, true]) @ weight) / (np.exp(logs[:, true]) @ weight).sum()).astype(float)
+        chosen, _ = langid.infer(logs, counts)
+        cost = langid.PENALTY * 0.5 * np.log(counts.sum() / langid.DEPENDENCE)
+        value = lambda s: langid.mixture(logs[:, list(s)], counts / langid.DEPENDENCE)[1] - cost * len(s)
+        best = max((s for k in range(1, 5) for s in itertools.combinations(range(4), k)), key=value)
+        assert value(sorted(chosen.tolist())) >= value(best) - 1e-6 and sorted(chosen.tolist()) == list(best) == sorted(true.tolist())
+
+
+def test_ties_go_to_the_first_name(spark):
+    rows = [(i, "tha ing the was", lang) for i, lang in enumerate(["bb", "aa"] * 40)] + [(1000, "the was", None)]
+    got = {r.lang_pred for r in run(spark, rows) if r.doc_id == 1000}
+    counts = {lang: sum(1 for i, _, x in rows if x == lang and zlib.crc32(str(i).encode()) % 5) for lang in ("aa", "bb")}
+    assert counts["aa"] != counts["bb"] or got == {"aa"}
+    logs = np.log(np.full((6, 3), 1 / 6))
+    assert langid.infer(logs, np.ones(6))[0].tolist() == [0]
+
+
+def test_rows_that_fit_no_language_go(spark):
+    g = np.random.default_rng(3)
+    junk = [(3000 + k, " ".join("".join(g.choice(list("bcdfghjkmpqvxyz"), g.integers(3, 9))) for _ in range(n)), None) for k, n in enumerate((8, 40, 400))]
+    mixed = [(4000, "tha ing the was " * 9 + "lich und keit der " * 9 + "çion él ñas que " * 9, None), (4001, "tha", None)]
+    rows = corpus() + junk + mixed + [(5000, None, None), (5001, "", None), (5002, "12 !", None)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA).repartition(3)
+    kept = langid.identified_rows(df)
+    assert kept.schema == df.schema
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in corpus() + mixed}
+    assert {r.doc_id for r in langid.identified_rows(df, ["bb"]).collect()} - {4000} == {i for i, _, lang in corpus() if lang == "bb"}
