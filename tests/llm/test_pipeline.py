@@ -49,3 +49,21 @@ def test_each_stage_and_the_whole(spark, tables):
     rows = [(r[0], r[1]) for r in steps["near_dedup"][1]]
     n, tokens = check(corpus_pipeline.run(spark, path), rows, 1024)
     assert n <= tokens / 1024 * 1.05 + 1
+
+
+def test_empty_and_clashing_tables(spark, tables, tmp_path):
+    """No rows at all, no labels, and columns whose names the stages use themselves."""
+    path, docs, _ = tables
+    full = spark.read.parquet(f"{path}/documents.parquet")
+    for name, rows in (("none", full.limit(0)), ("some", full.filter("doc_id < 40 or doc_id >= 1000"))):
+        sf = str(tmp_path / name)
+        extra = rows.selectExpr("*", "'x' as _key_doc_id", "true as _stay_many", "1 as _row", "2 as row", "3 as node", "'y' as label")
+        extra.write.parquet(f"{sf}/documents.parquet")
+        spark.read.parquet(f"{path}/labels.parquet").limit(0).write.parquet(f"{sf}/labels.parquet")
+        now = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, now, sf)
+            assert after.schema == now.schema
+            now = spark.createDataFrame(after.collect(), now.schema)
+        packed = corpus_pipeline.run(spark, sf)
+        assert packed.select("doc_id").distinct().count() == now.count() and (name == "none") == (now.count() == 0)
