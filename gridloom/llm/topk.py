@@ -11,20 +11,24 @@ ranking over blocks gives the result.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from gridloom.llm.common import table
 
 K = 20
 SCALE = 64
 QUERY_EVERY = 20
-#: Rows of a block and queries of a chunk: what one task holds at a time.
-BLOCK_ROWS = 65_536
+#: Values (rows times components) of a block, and queries of a chunk.
+BLOCK_VALUES = 1 << 22
 CHUNK_QUERIES = 256
 #: Quantised values beyond this leave the slices and are scored in Python's unbounded integers.
 MAX_VALUE = 1 << 24
@@ -74,7 +78,6 @@ class SlicedBlock:
         self.slices = [slices_of(self.values[:, d]) for d in range(values.shape[1])]
         self.negated = [[~s for s in column] for column in self.slices]
         self.present = pack_bits(np.ones(len(ids), np.uint8))
-        self.row_of = {v: i for i, v in enumerate(self.ids.tolist())}
 
     def sum_slices(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Two's complement slices of the scores, without a constant that is the same for all rows, and that constant.
@@ -117,10 +120,11 @@ class SlicedBlock:
     def top(self, query: np.ndarray, k: int, own_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but the query's own; ties go to the smaller id."""
         candidates = self.present
-        if own_id in self.row_of:
-            row = self.row_of[own_id]
-            candidates = candidates.copy()
-            candidates[row >> 6] &= ~(np.uint64(1) << np.uint64(row & 63))
+        own = slice(*np.searchsorted(self.ids, [own_id, own_id + 1]).tolist())
+        if own.start < own.stop:
+            out = np.zeros(len(self.ids), np.uint8)
+            out[own] = 1
+            candidates = candidates & ~pack_bits(out)
         slices, _ = self.sum_slices(query)
         sure, tied, need = np.zeros_like(candidates), candidates, k
         if count(candidates) > k:
@@ -144,110 +148,145 @@ class SlicedBlock:
 
 
 def _exact_top(ids: np.ndarray, values: list[list[int]], query: list[int], k: int, own_id: int) -> list[tuple[int, int]]:
-    scored = sorted((-sum(a * b for a, b in zip(v, query)), i) for i, v in zip(ids.tolist(), values) if i != own_id)
-    return [(i, max(min(-s, (1 << 63) - 1), -(1 << 63))) for s, i in scored[:k]]
+    """As :meth:`SlicedBlock.top`, in unbounded integers."""
+    scored = ((-max(min(sum(a * b for a, b in zip(v, query)), (1 << 63) - 1), -(1 << 63)), i) for i, v in zip(ids.tolist(), values) if i != own_id)
+    return [(i, -s) for s, i in heapq.nsmallest(k, scored)]
 
 
-def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """``vec_id`` and ``q``: floor(scale * x) of each component.
-
-    Rows with a null id, a null or empty vector, or a component that is null, not finite or too large for a
-    long leave. Of rows that share an id, the one with the smallest quantised vector stays.
-    """
+def usable(vectors: DataFrame) -> DataFrame:
+    """``vec_id`` and ``e``, the components as doubles (or floats, if they are), without rows that take no part."""
     x = F.transform(F.col("embedding"), lambda c: c.cast("double"))
-    big = F.lit(float(1 << 62) / scale)
-    ok = F.forall(x, lambda c: F.coalesce(F.abs(c) < big, F.lit(False)))  # false for NaN, which is largest
+    ok = F.forall(x, lambda c: F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False)))  # false for NaN, which is largest
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(F.coalesce(ok, F.lit(False)) & (F.size("embedding") > 0))
-    q = F.transform(x, lambda c: F.floor(c * scale))
-    return rows.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(q).alias("q"))
+    narrow = rows.schema["embedding"].dataType.elementType == FloatType()
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), (F.col("embedding") if narrow else x).alias("e"))
 
 
-def _gathered(key: str):
-    """Rows sorted by ``key`` to payloads: one for each key and length of vector."""
+def exact_floor(x: float, scale: int) -> int:
+    """floor(scale * x) without rounding where the product leaves the doubles' whole range or a long's."""
+    return math.floor(x * scale) if abs(x) < 1 << 50 else int(x) * scale
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, waiting = None, {}
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for dim, (ids, vecs) in waiting.items():
-                values = np.asarray(vecs, np.int64)
-                if np.abs(values).max() < 1 << 31:
-                    values = values.astype(np.int32)
-                cols = [pa.array([now]), pa.array([dim]), pa.array([np.asarray(ids, np.int64).tobytes()]), pa.array([values.itemsize]), pa.array([values.tobytes()])]
-                yield pa.RecordBatch.from_arrays(cols, [key, "dim", f"{key}_ids", f"{key}_width", f"{key}_values"])
+class Vectors:
+    """Rows of one length: ids, and quantised values as an array, or as lists of integers where one doesn't fit the slices."""
 
-        for batch in batches:
-            for name, i, v in zip(*(batch.column(c).to_pylist() for c in (key, "vec_id", "q"))):
-                if name != now:
-                    yield from out()
-                    now, waiting = name, {}
-                ids, vecs = waiting.setdefault(len(v), ([], []))
-                ids.append(i)
-                vecs.append(v)
-        yield from out()
+    def __init__(self, ids: np.ndarray, e: np.ndarray, scale: int):
+        self.ids, self.dim = ids, e.shape[1]
+        # bounds of the slices, and of a sum that fits a long
+        self.narrow = bool(np.abs(e).max() < MAX_VALUE / scale) and self.dim < 1 << 14
+        self.values = np.floor(e * scale).astype(np.int64) if self.narrow else None
+        self.e, self.scale, self._lists, self._block = e, scale, None, None
 
-    return run
+    @property
+    def lists(self) -> list[list[int]]:
+        if self._lists is None:
+            self._lists = [[exact_floor(x, self.scale) for x in row] for row in self.e.tolist()]
+        return self._lists
 
+    @property
+    def block(self) -> SlicedBlock:
+        if self._block is None:
+            self._block = SlicedBlock(self.ids, self.values)
+        return self._block
 
-def _payload(rows: DataFrame, number: int, key: str) -> DataFrame:
-    """Rows dealt by their id to ``number`` payloads."""
-    dealt = rows.withColumn(key, F.pmod(F.xxhash64("vec_id"), F.lit(number)))
-    return dealt.repartition(key).sortWithinPartitions(key).mapInArrow(
-        _gathered(key), f"{key} long, dim long, {key}_ids binary, {key}_width long, {key}_values binary"
-    )
 
+def _by_length(ids: pa.Array, e: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrices of the vectors of each length."""
+    values, ends = e.flatten().to_numpy().astype(np.float64), np.cumsum(pa.compute.list_value_length(e).to_numpy())
+    dims, ids = np.diff(ends, prepend=0), ids.to_numpy()
+    for dim in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == dim)
+        yield ids[at], values[(ends[at] - dim)[:, None] + np.arange(dim)]
 
-def _vectors(r: dict, key: str) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(r[f"{key}_ids"], np.int64)
-    values = np.frombuffer(r[f"{key}_values"], np.int32 if r[f"{key}_width"] == 4 else np.int64)
-    return ids, values.reshape(len(ids), r["dim"]).astype(np.int64)
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The queries of each batch as chunks of one length."""
+    for batch in batches:
+        for ids, e in _by_length(batch.column("vec_id"), batch.column("e")):
+            for a in range(0, len(ids), CHUNK_QUERIES):
+                part = ids[a : a + CHUNK_QUERIES], np.ascontiguousarray(e[a : a + CHUNK_QUERIES])
+                yield pa.RecordBatch.from_arrays([pa.array([e.shape[1]]), *(pa.array([x.tobytes()]) for x in part)], ["dim", "q_ids", "q_e"])
 
-def _answers(k: int):
+
+def _answers(k: int, scale: int):
     schema = ["query_id", "vec_id", "score"]
 
+    def answered(rows: Vectors, asked: Vectors) -> list[tuple[int, int, int]]:
+        found: list[tuple[int, int, int]] = []
+        for n, q in enumerate(asked.ids.tolist()):
+            if rows.narrow and asked.narrow:
+                best, scores = rows.block.top(asked.values[n], k, q)
+                found += zip([q] * len(best), best.tolist(), scores.tolist())
+            else:
+                found += [(q, i, s) for i, s in _exact_top(rows.ids, rows.lists, asked.lists[n], k, q)]
+        return found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block: first its rows, of which the slices are built once, then the chunks that it answers."""
+        now, ids, vectors, held = None, [], [], {}
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, values = _vectors(r, "block")
-                qids, queries = _vectors(r, "chunk")
-                found: list[tuple[int, int, int]] = []
-                # bounds of the slices, and of a sum that fits a long
-                if max(np.abs(values).max(), np.abs(queries).max()) < MAX_VALUE and r["dim"] < 1 << 14:
-                    block = SlicedBlock(ids, values)
-                    for q, query in zip(qids.tolist(), queries):
-                        best, scores = block.top(query, k, q)
-                        found += zip([q] * len(best), best.tolist(), scores.tolist())
-                else:
-                    rows = values.tolist()
-                    for q, query in zip(qids.tolist(), queries.tolist()):
-                        found += [(q, i, s) for i, s in _exact_top(ids, rows, query, k, q)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema)
+            blocks, dims = batch.column("block").to_numpy(), batch.column("dim").fill_null(0).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(dims) != 0) | (dims[1:] > 0)) + 1).tolist(), len(blocks)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if blocks[a] != now:
+                    now, ids, vectors, held = blocks[a], [], [], {}
+                part = batch.slice(a, b - a)
+                if not dims[a]:
+                    ids.append(part.column("vec_id"))
+                    vectors.append(part.column("e"))
+                    continue
+                if ids:
+                    held = {e.shape[1]: Vectors(i, e, scale) for i, e in _by_length(pa.concat_arrays(ids), pa.concat_arrays(vectors))}
+                    ids, vectors = [], []
+                dim = int(dims[a])
+                if dim in held:
+                    r = part.to_pylist()[0]
+                    asked = Vectors(np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_e"], np.float64).reshape(-1, dim), scale)
+                    found = answered(held[dim], asked)
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema)
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, block_rows: int = BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, block_values: int = BLOCK_VALUES) -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query's k largest inner products, from 1; ties to the smaller id.
 
-    ``queries`` has the columns of ``vectors``. A row is no candidate for the query with its own id. Null
-    ids, null vectors and vectors that hold null or non-finite components take no part; vectors of another
-    length than the query's are no candidates. Scores beyond a long are shown as the nearest long. Other
-    columns are not read. Every chunk of queries meets every block of the index by an equi-join on both
-    numbers; only the chunk's best rows of the block come back.
+    ``queries`` has the columns of ``vectors``. Rows with the query's own id are no candidates for it. Null ids, null or
+    empty vectors and vectors that hold null or non-finite components take no part; vectors of another length than the
+    query's are no candidates. Repeated rows are candidates of their own and may fill several ranks; queries that share
+    an id are ranked together, as one. Finite components of any size take part; scores beyond a long count as the nearest
+    long. An empty table gives no rows. Other columns are not read.
+
+    Rows are dealt to blocks of a bounded number of values, and each block stays in its task; what is sent to every block
+    are the queries, in chunks. Where there are fewer blocks than cores, each stands in several lanes, which share its
+    chunks.
     """
-    rows, asked = quantised(vectors, scale), quantised(queries, scale)
-    n_blocks, n_chunks = max(1, -(-rows.count() // block_rows)), max(1, -(-asked.count() // chunk_queries))
-    blocks = _payload(rows, n_blocks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))))
-    chunks = _payload(asked, n_chunks, "chunk").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    pairs = blocks.join(chunks.hint("merge"), ["block", "chunk", "dim"])
-    found = pairs.mapInArrow(_answers(k), "query_id long, vec_id long, score long")
+    rows, asked = usable(vectors), usable(queries)
+    n, widest = rows.agg(F.count("*"), F.max(F.size("e"))).first()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n_blocks = max(1, -(-n * (widest or 1) // block_values))
+    lanes = -(-cores // n_blocks)
+    # by a number of the row as well: a repeated id is no group in one block
+    block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_blocks))
+    none, to = lambda t: F.lit(None).cast(t), lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    kind = rows.schema["e"].dataType
+    index = rows.withColumn("block", block).select("block", to(lanes).alias("lane"), none("long").alias("dim"), "vec_id", "e", none("binary").alias("q_ids"), none("binary").alias("q_e"))
+    chunks = asked.mapInArrow(_chunks, "dim long, q_ids binary, q_e binary").withColumn("lane", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(lanes)))
+    chunks = chunks.select(to(n_blocks).alias("block"), "lane", "dim", none("long").alias("vec_id"), none(kind).alias("e"), "q_ids", "q_e")
+    dealt = index.unionByName(chunks).select((F.col("block") * lanes + F.col("lane")).alias("block"), "dim", "vec_id", "e", "q_ids", "q_e")
+    # a range for each of a few keys, so that no two share a task; many keys even out by their hashes
+    dealt = dealt.repartitionByRange(n_blocks * lanes, "block") if lanes > 1 else dealt.repartition(n_blocks, "block")
+    dealt = dealt.sortWithinPartitions("block", F.col("dim").asc_nulls_first())
+    found = dealt.mapInArrow(_answers(k, scale), "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`top_k` over all embeddings, asked by every twentieth; its docstring states the odd cases."""
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.filter(F.col("vec_id") % QUERY_EVERY == 0))
 
