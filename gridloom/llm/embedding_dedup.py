@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, release, table
+from gridloom.llm.common import materialise, release, small_or_shuffled, table
 from gridloom.llm.components import components, spanning
 
 COSINE = 0.93
@@ -182,19 +182,21 @@ def deduplicate(vectors: DataFrame, cosine: float = COSINE, interval: int = INTE
 
     Rows whose label or vector is null, whose vector is empty, zero or holds a null or a component that is
     not finite, or whose id is null link with nothing: no links, their own id as component, kept. Vectors
-    of different lengths don't link. Repeated rows are vectors of their own. Other columns are not read.
+    of different lengths don't link. Repeated rows are vectors of their own, and so are rows that share an id but not
+    the label or the vector. An empty table gives no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
     eps = float(np.sqrt(2 - 2 * cosine))
     rows = _prepared(vectors)
     usable = rows.filter("usable").select("vec_id", "label", "e")
-    classes = usable.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialise(classes.withColumn("dim", F.size("e")), "classes")
+    classes = usable.groupBy("label", "e").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # nodes are numbers of classes, as several rows, and classes, may share an id
+    classes = materialise(classes.select("*", F.size("e").alias("dim"), F.monotonically_increasing_id().alias("rep")), "classes")
     sample: dict[int, list] = {}
-    for r in classes.select("dim", F.slice("e", 1, PCA_COORDINATES).alias("x")).orderBy(F.xxhash64("rep"), "rep").limit(PCA_SAMPLE).toLocalIterator():
+    for r in classes.select("dim", F.slice("e", 1, PCA_COORDINATES).alias("x")).orderBy(F.xxhash64("least"), "least").limit(PCA_SAMPLE).toLocalIterator():
         sample.setdefault(r.dim, []).append(np.array(r.x) / (np.linalg.norm(r.x) or 1.0))
     bases = {dim: principal(np.array(x)) for dim, x in sample.items()}
-    celled = classes.mapInArrow(_celled(bases, eps), "label long, e array<double>, rep long, copies long, dim int, cells array<int>, projection array<double>")
+    celled = classes.drop("least").select("label", "e", "rep", "copies", "dim").mapInArrow(_celled(bases, eps), "label long, e array<double>, rep long, copies long, dim int, cells array<int>, projection array<double>")
     order = ["label", "dim", "cells", "rep"]
     n = classes.count()
     parts = max(1, min(-(-n // (4 * interval)), 20_000))
@@ -217,14 +219,16 @@ def deduplicate(vectors: DataFrame, cosine: float = COSINE, interval: int = INTE
     found = materialise(loaded.mapInArrow(_linked(cosine), "u long, v long, n long"), "links")
     links = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     linked = components(found.select("u", "v")).withColumnRenamed("node", "rep")
-    known = classes.select("label", "e", "rep", "copies").join(links, "rep", "left").join(linked, "rep", "left")
-    own = usable.join(known, ["label", "e"]).select(
-        "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
-    )
+    known = classes.select("label", "e", "rep", "least", "copies").join(links, "rep", "left").join(linked, "rep", "left")
+    known = materialise(known.withColumn("component", F.coalesce("component", "rep")), "known")
+    smallest = materialise(known.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
+    known_too = materialise(known.join(small_or_shuffled(smallest), "component").select("label", "e", "links", "copies", "component_id"), "known")
+    own = usable.join(small_or_shuffled(known_too), ["label", "e"]).select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = materialise(own.unionByName(rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))), "vectors")
-    release(intervals, pairs, found, classes)
+    release(intervals, pairs, found, classes, known, known_too, smallest)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`deduplicate` of all embeddings; its docstring states the odd cases."""
     return deduplicate(table(spark, sf_dir, "embeddings"))

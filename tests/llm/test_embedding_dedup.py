@@ -46,6 +46,16 @@ def test_against_brute_force(spark, monkeypatch):
     assert run(spark, rows, interval=16) == want
 
 
+def test_shared_ids(spark):
+    """Rows that share an id but not the label or the vector are nodes of their own."""
+    g = np.random.default_rng(4)
+    a, b, c = (g.normal(size=6).tolist() for _ in range(3))
+    rows = [(1, a, 0), (1, b, 1), (2, a, 0), (3, b, 2), (4, c, 1), (4, b, 1), (4, b, 1), (0, c, 1)]
+    assert run(spark, rows) == brute(rows, 0.93)
+    rows = [(int(g.integers(12)), (np.array(a) + g.normal(size=6) * 0.3).tolist(), int(g.integers(2))) for _ in range(60)]
+    assert run(spark, rows) == brute(rows, 0.93)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None, None)]) == [(False, 1, 0, 1, True)]
