@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, release
+from gridloom.llm.common import materialise, release, small_or_shuffled
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -22,11 +22,12 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _star_ends(pairs: DataFrame) -> DataFrame:
-    """(a, b) with the least of a and all its partners. The minimum is combined before the shuffle and joined
-    back, so that a node with many partners is no group in one task; adaptive execution splits its rows."""
-    least = pairs.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
-    return pairs.join(least, "a")
+def _star_ends(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) with the least of a and all its partners, and the table of these to release. The minimum is combined before
+    the shuffle, written, and joined back, so that a node with many partners is no group in one task: adaptive execution
+    splits only joins whose sides are plain shuffles."""
+    least = materialise(pairs.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least")), "least")
+    return pairs.join(small_or_shuffled(least), "a"), least
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
@@ -48,11 +49,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(forward.filter(edges["u"].isNotNull() & edges["v"].isNotNull() & (F.col("u") != F.col("v"))).distinct(), "edges")
     while not _is_forest_of_stars(now):
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        large = _star_ends(both).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a > b").distinct()
-        small = _star_ends(large)
+        ends, first = _star_ends(both)
+        large = materialise(ends.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a > b").distinct(), "large")
+        small, second = _star_ends(large)
         linked = small.select(F.col("b").alias("u"), F.col("least").alias("v")).unionByName(small.select(F.col("a").alias("u"), F.col("least").alias("v")))
         after = materialise(linked.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        release(now)
+        release(now, first, second, large)
         now = after
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
