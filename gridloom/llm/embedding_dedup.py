@@ -232,3 +232,20 @@ def deduplicate(vectors: DataFrame, cosine: float = COSINE, interval: int = INTE
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """:func:`deduplicate` of all embeddings; its docstring states the odd cases."""
     return deduplicate(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS n, vec_id, label, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS e FROM embeddings
+), u AS (
+  SELECT n, label, e, sqrt(list_sum(list_transform(e, lambda c: c * c))) AS norm FROM v
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(e, lambda c: c <> 0)) > 0
+), p AS (
+  SELECT a.n AS a, b.n AS b FROM u a JOIN u b ON a.label = b.label AND a.n < b.n AND len(a.e) = len(b.e)
+  WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda t: t[1] * t[2])) / (a.norm * b.norm) >= 0.93
+), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(a, b) AS (SELECT n, n FROM v UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT r.a AS n, min(v.vec_id) AS component_id FROM r JOIN v ON v.n = r.b GROUP BY r.a),
+k AS (SELECT a AS n, count(*) AS n_links FROM e GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN m USING (n) LEFT JOIN k USING (n)
+"""

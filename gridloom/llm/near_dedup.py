@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, release, small_or_shuffled, table
+from gridloom.llm.common import materialise, release, small_or_shuffled, table, unused_names
 from gridloom.llm.components import components, spanning
 
 SHINGLE_WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -123,8 +123,9 @@ class _Join:
     def index(self) -> DataFrame:
         """(value, node, n_shingles): a class in the lists of its rarest values, without lists of one member."""
         values = self.classes.select("node", "n_shingles", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
-        shared = values.groupBy("value").agg(F.count("*").alias("f")).filter("f > 1")
-        met = values.join(shared, "value").groupBy("node", "n_shingles", "k").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("met"))
+        # written before it is joined back: only a join of plain shuffles is split where a value is frequent
+        shared = materialise(values.groupBy("value").agg(F.count("*").alias("f")).filter("f > 1"), "shared")
+        met = values.join(small_or_shuffled(shared), "value").groupBy("node", "n_shingles", "k").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("met"))
         n = F.col("n_shingles")
         differing = n - F.expr(f"cast((n_shingles * {self.numerator} + {self.denominator - 1}) div {self.denominator} as long)") + 1
         # sets whose partners fit their sketches too: the differing shingles and one more are always enough
@@ -132,17 +133,23 @@ class _Join:
         alone = F.col("k") - F.size("met")  # values that no other class has are rarer than all others
         taken = F.greatest(F.lit(0), wanted - alone).cast("int")
         listed = met.withColumn("taken", taken).filter("taken > 0").select("node", "n_shingles", F.explode(F.slice("met", F.lit(1), F.col("taken"))).alias("m"))
-        return materialise(listed.select(F.col("m.value").alias("value"), "node", "n_shingles"), "index")
+        index = materialise(listed.select(F.col("m.value").alias("value"), "node", "n_shingles"), "index")
+        release(shared)
+        return index
 
     def active(self, index: DataFrame, component: DataFrame | None) -> DataFrame:
-        """Index rows with their components, of lists whose members are not all in one."""
+        """Index rows with their components, of lists whose members are not all in one, as a table."""
         if component is None:
             known = index.withColumn("component", F.col("node"))
         else:
             known = index.join(small_or_shuffled(component), "node", "left").withColumn("component", F.coalesce("component", "node"))
         centre = F.min(F.struct(F.xxhash64("node", F.lit(17 * len(self.edges))).alias("h"), "node", "n_shingles", "component")).alias("centre")
+        known = materialise(known, "known")
         several = known.groupBy("value").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), centre).filter("low < high")
-        return known.join(several.drop("low", "high"), "value")
+        several = materialise(several.drop("low", "high"), "several")
+        active = materialise(known.join(small_or_shuffled(several), "value"), "active")
+        release(known, several)
+        return active
 
     def similar_sizes(self, n: Column, m: Column) -> Column:
         return F.least(n, m) * self.denominator >= F.greatest(n, m) * self.numerator
@@ -211,7 +218,7 @@ class _Join:
     def run(self) -> DataFrame:
         index, component = self.index(), None
         for step in range(ROUNDS + 1):
-            active = materialise(self.active(index, component), "active")
+            active = self.active(index, component)
             if active.isEmpty():
                 release(active)
                 break
@@ -227,10 +234,10 @@ class _Join:
             nodes = nodes.join(component, "node", "left")
         else:
             nodes = nodes.withColumn("component", F.lit(None).cast("long"))
-        nodes = nodes.select("n_shingles", "sig_a", "sig_b", F.coalesce("component", "node").alias("group"))
+        nodes = materialise(nodes.select("n_shingles", "sig_a", "sig_b", F.coalesce("component", "node").alias("group")), "nodes")
         base = self.rows.select("doc_id", "text_hash", "bytes", "n_shingles", "sig_a", "sig_b", "row")
-        grouped = materialise(base.join(nodes, ["n_shingles", "sig_a", "sig_b"], "left").withColumn("group", F.coalesce("group", "row")).drop("sig_a", "sig_b"), "grouped")
-        release(self.rows, self.classes, component, *self.edges)
+        grouped = materialise(base.join(small_or_shuffled(nodes), ["n_shingles", "sig_a", "sig_b"], "left").withColumn("group", F.coalesce("group", "row")).drop("sig_a", "sig_b"), "grouped")
+        release(self.rows, self.classes, nodes, component, *self.edges)
         return grouped
 
 
@@ -369,8 +376,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, numerator: int
     component is the least id that is not null, or null. Other columns are not read.
     """
     grouped = groups(docs, words, numerator, denominator)
-    least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    out = grouped.join(least, "group").select("doc_id", "n_shingles", "component_id")
+    least = materialise(grouped.groupBy("group").agg(F.min("doc_id").alias("component_id")), "least")
+    out = grouped.join(small_or_shuffled(least), "group").select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -384,21 +391,40 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, numerator: int = NUMER
     first = F.struct(F.col("doc_id").isNull().alias("null"), *key)
     lone = grouped.filter("n_shingles = 0").select(*key).distinct().withColumn("many", F.lit(False))
     stay = grouped.filter("n_shingles > 0").groupBy("group").agg(F.min(first).alias("m")).select("group", *(F.col(f"m.{c}").alias(c) for c in key))
+    stay = materialise(stay, "least")
     # rows that repeat a key of their group can't be told apart; of these a single one is taken below
     same = [F.col(f"s.{c}").eqNullSafe(F.col(f"g.{c}")) for c in key]
-    times = stay.alias("s").join(grouped.alias("g"), (F.col("s.group") == F.col("g.group")) & same[0] & same[1] & same[2])
+    times = small_or_shuffled(stay).alias("s").join(grouped.alias("g"), (F.col("s.group") == F.col("g.group")) & same[0] & same[1] & same[2])
     stay = times.groupBy("s.group", *(f"s.{c}" for c in key)).agg((F.count("*") > 1).alias("many")).select(*key, "many")
     stay = materialise(stay.unionByName(lone), "stay")
     text = F.coalesce("text", F.lit(""))
-    names = {c: f"_key_{c}" for c in key}
+    own = unused_names(docs, *key, "many", *(f"stay_{c}" for c in key))
+    names = {c: own[c] for c in key}
     keyed = docs.withColumns({names["doc_id"]: F.col("doc_id").cast("long"), names["text_hash"]: F.xxhash64(text), names["bytes"]: F.octet_length(text).cast("long")})
-    marked = stay.select(*(F.col(c).alias(f"_stay_{c}") for c in key), F.col("many").alias("_stay_many"))
-    on = [F.col(names[c]).eqNullSafe(F.col(f"_stay_{c}")) for c in key]
+    marked = stay.select(*(F.col(c).alias(own[f"stay_{c}"]) for c in key), F.col("many").alias(own["many"]))
+    on = [F.col(names[c]).eqNullSafe(F.col(own[f"stay_{c}"])) for c in key]
     joined = keyed.join(marked, on[0] & on[1] & on[2])
-    single = joined.filter("not _stay_many").select(*docs.columns)
-    repeated = joined.filter("_stay_many").dropDuplicates(list(names.values())).select(*docs.columns)
+    single = joined.filter(~F.col(own["many"])).select(*docs.columns)
+    repeated = joined.filter(F.col(own["many"])).dropDuplicates(list(names.values())).select(*docs.columns)
     return single.unionByName(repeated)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`near_duplicates` of all documents with three words and 0.85; its docstring states the odd cases."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, numerator=85, denominator=100)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT n, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w
+), x AS (SELECT n, len(sh) AS size, unnest(sh) AS h FROM s),
+c AS (SELECT a.n AS a, b.n AS b, a.size AS sa, b.size AS sb, count(*) AS common FROM x a JOIN x b ON a.h = b.h AND a.n < b.n GROUP BY a.n, b.n, a.size, b.size),
+p AS (SELECT a, b FROM c WHERE 100 * common >= 85 * (sa + sb - common)),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(a, b) AS (SELECT n, n FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT r.a AS n, min(s.doc_id) AS component_id FROM r JOIN s ON s.n = r.b GROUP BY r.a)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (n)
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.OP6_SQL, "op9_licenses": licenses.OP9_SQL}
+    return {"op5_near_dedup": near_dedup.OP5_SQL, "op7_embedding_dedup": embedding_dedup.OP7_SQL, "op6_topk": topk.OP6_SQL, "op9_licenses": licenses.OP9_SQL}
