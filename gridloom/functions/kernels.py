@@ -6,6 +6,7 @@ Labels are numbered by the place of an object's first pixel in column order.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -47,20 +48,57 @@ def _bounds(dtype: np.dtype) -> tuple:
     return np.iinfo(dtype).min, np.iinfo(dtype).max
 
 
-def erode(a: np.ndarray, element: np.ndarray) -> np.ndarray:
-    out = np.full(a.shape, _bounds(a.dtype)[1], a.dtype)
-    for dy, dx in offsets(element):
-        np.minimum(out, shifted(a, dy, dx, _bounds(a.dtype)[1]), out)
+def _runs(element: np.ndarray) -> list[tuple[int, int, int]] | None:
+    """(row, first column, length) of an element's rows, relative to its centre; None if a row has gaps."""
+    cy, cx = element.shape[0] // 2, element.shape[1] // 2
+    out = []
+    for y in np.flatnonzero(element.any(1)).tolist():
+        x = np.flatnonzero(element[y])
+        if x[-1] - x[0] + 1 != len(x):
+            return None
+        out.append((y - cy, int(x[0]) - cx, len(x)))
     return out
 
 
-def dilate(a: np.ndarray, element: np.ndarray) -> np.ndarray:
-    out = np.full(a.shape, _bounds(a.dtype)[0], a.dtype)
-    for dy, dx in offsets(element):
-        np.maximum(out, shifted(a, -dy, -dx, _bounds(a.dtype)[0]), out)
+def _extreme(a: np.ndarray, element: np.ndarray, pick, fill, mirrored: bool) -> np.ndarray:
+    """Minimum or maximum over the (mirrored) element's places around each pixel, with ``fill`` outside.
+
+    Rows of an element are runs; the extremes of all runs that begin at a pixel come from those of half their length.
+    """
+    runs = _runs(element) if element.sum() > 9 else None
+    out = np.full(a.shape, fill, a.dtype)
+    if runs is None:
+        for dy, dx in offsets(element):
+            pick(out, shifted(a, -dy, -dx, fill) if mirrored else shifted(a, dy, dx, fill), out)
+        return out
+    if mirrored:
+        runs = [(-dy, 1 - x - n, n) for dy, x, n in runs]
+    h, w = a.shape
+    left, right = max(0, -min(x for _, x, _ in runs)), max(0, max(x + n for _, x, n in runs))
+    powers = [np.pad(a, ((0, 0), (left, right)), constant_values=fill)]
+    while 2 << len(powers) - 1 <= max(n for _, _, n in runs):
+        half = 1 << len(powers) - 1
+        powers.append(pick(powers[-1][:, :-half], powers[-1][:, half:]))
+    held: dict[tuple[int, int], np.ndarray] = {}
+    for dy, x, n in runs:
+        if (x, n) not in held:
+            k = n.bit_length() - 1
+            at = left + x
+            held[x, n] = pick(powers[k][:, at : at + w], powers[k][:, at + n - (1 << k) : at + n - (1 << k) + w])
+        ys = slice(max(0, -dy), min(h, h - dy))
+        if ys.start < ys.stop:
+            pick(out[ys], held[x, n][ys.start + dy : ys.stop + dy], out[ys])
     return out
 
 
+def erode(a: np.ndarray, element: np.ndarray) -> np.ndarray:
+    return _extreme(a, element, np.minimum, _bounds(a.dtype)[1], False)
+
+
+def dilate(a: np.ndarray, element: np.ndarray) -> np.ndarray:
+    return _extreme(a, element, np.maximum, _bounds(a.dtype)[0], True)
+
+
 def opening(a: np.ndarray, element: np.ndarray) -> np.ndarray:
     return dilate(erode(a, element), element)
 
@@ -126,7 +164,10 @@ def label(mask: np.ndarray, connectivity: int = 8) -> np.ndarray:
 def label_equal(values: np.ndarray, connectivity: int, mask: np.ndarray) -> np.ndarray:
     """Components of neighbours of equal value inside a mask."""
     h, w = values.shape
-    index = np.arange(h * w).reshape(w, h).T  # column order, so that the least member is the first pixel
+    mask = np.asarray(mask, bool)
+    # pixels of the mask are numbered in column order, so that the least member is the first pixel
+    inside = mask.T.ravel()
+    index = (np.cumsum(inside) - 1).reshape(w, h).T
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     ends_i, ends_j = [], []
     for dy, dx in steps:
@@ -135,11 +176,10 @@ def label_equal(values: np.ndarray, connectivity: int, mask: np.ndarray) -> np.n
         joined = mask[y0, x0] & mask[y1, x1] & (values[y0, x0] == values[y1, x1])
         ends_i.append(index[y0, x0][joined])
         ends_j.append(index[y1, x1][joined])
-    root = _roots(h * w, np.concatenate(ends_i), np.concatenate(ends_j))
+    root = _roots(int(inside.sum()), np.concatenate(ends_i), np.concatenate(ends_j))
+    number = np.cumsum(root == np.arange(len(root)))[root]
     out = np.zeros((h, w), np.int32)
-    if mask.any():
-        _, number = np.unique(root[index[mask]], return_inverse=True)
-        out[mask] = number + 1
+    out.T[inside.reshape(w, h)] = number
     return out
 
 
@@ -175,13 +215,38 @@ def clear_border(mask: np.ndarray) -> np.ndarray:
 
 
 def reconstruct(marker: np.ndarray, limit: np.ndarray, connectivity: int = 8) -> np.ndarray:
-    """Grey reconstruction of the marker by dilation under the limit."""
+    """Grey reconstruction of the marker by dilation under the limit.
+
+    While much changes, whole images are dilated; after that only the neighbours of what has changed are looked at.
+    """
     element, now = (SQUARE if connectivity == 8 else CROSS), np.minimum(marker, limit)
     while True:
         after = np.minimum(dilate(now, element), limit)
-        if (after == now).all():
-            return now
+        changed = np.flatnonzero(after != now)
         now = after
+        if len(changed) <= now.size // 20:
+            break
+    if not len(changed):
+        return now
+    h, w = now.shape
+    low = _bounds(now.dtype)[0]
+    padded, top = (np.pad(x, 1, constant_values=low).ravel() for x in (now, limit))
+    changed = (changed // w + 1) * (w + 2) + changed % w + 1
+    steps = [dy * (w + 2) + dx for dy, dx in offsets(element) if (dy, dx) != (0, 0)]
+    last = np.zeros(len(padded), np.int64)
+    while len(changed):
+        risen, own = [], padded[changed]
+        for step in steps:
+            there = changed + step
+            value = np.minimum(own, top[there])
+            higher = value > padded[there]
+            there = there[higher]
+            np.maximum.at(padded, there, value[higher])
+            risen.append(there)
+        changed = np.concatenate(risen)
+        last[changed] = np.arange(len(changed))
+        changed = changed[last[changed] == np.arange(len(changed))]  # each place once
+    return padded.reshape(h + 2, w + 2)[1:-1, 1:-1]
 
 
 def distance(mask: np.ndarray) -> np.ndarray:
@@ -203,40 +268,49 @@ def distance(mask: np.ndarray) -> np.ndarray:
     return np.sqrt(best)
 
 
-def regional_minima(a: np.ndarray) -> np.ndarray:
+def regional_minima(a: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """Pixels of plateaus without a lower neighbour; with a mask, plateaus inside it."""
     values = np.round(a, 9)
-    flat = label_equal(values, 8, np.ones(a.shape, bool))
+    flat = label_equal(values, 8, np.ones(a.shape, bool) if mask is None else mask)
     lower = np.zeros(flat.max(initial=0) + 1, bool)
     for dy, dx in offsets(SQUARE):
         lower[flat[shifted(values, dy, dx, np.inf) < values]] = True
-    return ~lower[flat]
+    return ~lower[flat] if mask is None else ~lower[flat] & mask
 
 
 def watershed(a: np.ndarray) -> np.ndarray:
     """Basins of the regional minima, flooded in order of height; ridges between basins are 0."""
-    basins = label(regional_minima(a))
+    found = label(regional_minima(a))
+    if found.max(initial=0) == 1:  # nothing to divide
+        return np.ones_like(found)
     h, w = a.shape
-    queue, done, order = [], basins > 0, 0
-    around = [o for o in offsets(SQUARE) if o != (0, 0)]
-
-    def push(y: int, x: int) -> None:
+    across = w + 2
+    # lists with a border of -1, as single places of arrays are slow to read
+    basins = np.pad(found, 1, constant_values=-1).ravel().tolist()
+    height = np.pad(np.asarray(a, float), 1).ravel().tolist()
+    done = [b != 0 for b in basins]
+    around = [dy * across + dx for dy, dx in offsets(SQUARE) if (dy, dx) != (0, 0)]
+    queue: list[tuple[float, int, int]] = []
+    order = 0
+
+    def push(at: int) -> None:
         nonlocal order
-        for dy, dx in around:
-            p, q = y + dy, x + dx
-            if 0 <= p < h and 0 <= q < w and not done[p, q]:
-                done[p, q] = True
-                heapq.heappush(queue, (a[p, q], order, p, q))
+        for step in around:
+            p = at + step
+            if not done[p]:
+                done[p] = True
+                heapq.heappush(queue, (height[p], order, p))
                 order += 1
 
-    for y, x in np.argwhere(basins.T > 0)[:, ::-1].tolist():
-        push(y, x)
+    for y, x in np.argwhere(found.T > 0)[:, ::-1].tolist():
+        push((y + 1) * across + x + 1)
     while queue:
-        _, _, y, x = heapq.heappop(queue)
-        near = {int(basins[y + dy, x + dx]) for dy, dx in around if 0 <= y + dy < h and 0 <= x + dx < w} - {0}
+        _, _, at = heapq.heappop(queue)
+        near = {basins[at + step] for step in around} - {0, -1}
         if len(near) == 1:
-            basins[y, x] = near.pop()
-            push(y, x)
-    return basins
+            basins[at] = near.pop()
+            push(at)
+    return np.array(basins, found.dtype).reshape(h + 2, across)[1:-1, 1:-1]
 
 
 #: Steps around a pixel, clockwise from up.
@@ -364,7 +438,9 @@ def granularity(image: np.ndarray, labels: np.ndarray, spectrum: int = 10, eleme
     now = to_uint8(scaled)
     now = np.where(now > ground, now - ground, 0).astype(np.uint8)
     n = int(labels.max(initial=0))
-    total = lambda x: np.bincount(labels.ravel(), x.ravel().astype(float), n + 1)[1:]
+    at = np.flatnonzero(labels)
+    owner = labels.ravel()[at]
+    total = lambda x: np.bincount(owner, x.ravel()[at], n + 1)[1:]
     first = before = total(now)
     eroded, out = now, np.zeros((n, spectrum))
     for k in range(spectrum):
@@ -392,6 +468,91 @@ def highpass(x: np.ndarray, longest: float, step: float) -> np.ndarray:
     return np.fft.ifft(z).real
 
 
+def boxes(labels: np.ndarray) -> np.ndarray:
+    """(top, left, bottom, right) of each label from 1, the last two exclusive, from one pass."""
+    n = int(labels.max(initial=0))
+    out = np.empty((n, 4), np.int64)
+    out[:, :2], out[:, 2:] = np.iinfo(np.int64).max, 0
+    y, x = np.nonzero(labels)
+    own = labels[y, x] - 1
+    for column, place, pick in ((0, y, np.minimum), (1, x, np.minimum), (2, y + 1, np.maximum), (3, x + 1, np.maximum)):
+        pick.at(out[:, column], own, place)
+    return out
+
+
+def crops(labels: np.ndarray) -> Iterator[tuple[int, np.ndarray, int, int]]:
+    """Each label from 1, the smallest mask that holds it, and its origin (row, column)."""
+    for k, (y0, x0, y1, x1) in enumerate(boxes(labels).tolist()):
+        if y0 < y1:
+            yield k + 1, labels[y0:y1, x0:x1] == k + 1, y0, x0
+
+
+#: Grey levels, and steps (down, right) of the four directions of co-occurrence.
+GREY_LEVELS = 8
+DIRECTIONS = ((0, 1), (-1, 1), (-1, 0), (-1, -1))
+
+
+def cooccurrences(image: np.ndarray, labels: np.ndarray, distance: int = 1) -> np.ndarray:
+    """Shares of pairs of grey levels within each object: objects by directions by levels by levels, symmetric.
+
+    Levels divide each object's own range of values. An object without a pair in a direction has zeros there.
+    """
+    a = np.asarray(image, float)
+    labels = np.where(np.isnan(a), 0, labels)
+    n = int(labels.max(initial=0))
+    at = np.flatnonzero(labels)
+    own, v = labels.ravel()[at], a.ravel()[at]
+    low, high = np.full(n + 1, np.inf), np.full(n + 1, -np.inf)
+    np.minimum.at(low, own, v)
+    np.maximum.at(high, own, v)
+    level = np.zeros(labels.shape, np.int64)
+    level.ravel()[at] = np.minimum(np.floor(GREY_LEVELS * (v - low[own]) / (high[own] + 1e-6 - low[own])), GREY_LEVELS - 1)
+    out = np.zeros((n, len(DIRECTIONS), GREY_LEVELS, GREY_LEVELS))
+    h, w = labels.shape
+    for k, (dy, dx) in enumerate(DIRECTIONS):
+        dy, dx = dy * distance, dx * distance
+        ys, xs = slice(max(0, -dy), min(h, h - dy)), slice(max(0, -dx), min(w, w - dx))
+        if ys.start >= ys.stop or xs.start >= xs.stop:
+            continue
+        there = slice(ys.start + dy, ys.stop + dy), slice(xs.start + dx, xs.stop + dx)
+        both = (labels[ys, xs] == labels[there]) & (labels[ys, xs] > 0)
+        cell = ((labels[ys, xs][both] - 1) * GREY_LEVELS + level[ys, xs][both]) * GREY_LEVELS + level[there][both]
+        counts = np.bincount(cell, minlength=n * GREY_LEVELS**2).reshape(n, GREY_LEVELS, GREY_LEVELS)
+        out[:, k] = counts + counts.transpose(0, 2, 1)
+    total = out.sum((2, 3), keepdims=True)
+    return np.divide(out, total, out=np.zeros_like(out), where=total > 0)
+
+
+def texture(p: np.ndarray) -> dict[str, np.ndarray]:
+    """The thirteen texture features of symmetric matrices (the last two axes); what is undefined is 0.
+
+    With the marginal m, and the distributions s of i + j and d of |i - j|, all are moments and entropies of p, m, s and d.
+    """
+    i, j = np.mgrid[1 : GREY_LEVELS + 1, 1 : GREY_LEVELS + 1]
+    over = lambda weight: (p * weight).sum((-2, -1))
+    spread = lambda k: np.stack([(p * (k == v)).sum((-2, -1)) for v in range(2 * GREY_LEVELS + 1)], -1)
+
+    def entropy(q: np.ndarray, axes=(-1,)) -> np.ndarray:
+        return -(q * np.log(np.where(q > 0, q, 1))).sum(axes)
+
+    def moments(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.arange(q.shape[-1])
+        mean = q @ k
+        return mean, q @ (k * k) - mean * mean
+
+    margin, sums, apart = p.sum(-1), spread(i + j), spread(np.abs(i - j))
+    mean = margin @ np.arange(1, GREY_LEVELS + 1)
+    variance = margin @ np.arange(1, GREY_LEVELS + 1) ** 2 - mean * mean
+    hx, hxy = entropy(margin), entropy(p, (-2, -1))
+    ratio = lambda x, y: np.divide(x, y, out=np.zeros_like(x), where=np.abs(y) > 1e-12)
+    return {
+        "Contrast": over((i - j) ** 2), "Correlation": ratio(over(i * j) - mean * mean, variance), "DifferenceEntropy": entropy(apart),
+        "DifferenceVariance": moments(apart)[1], "Energy": (p * p).sum((-2, -1)), "Entropy": hxy, "InformationCorrelation1": ratio(hxy - 2 * hx, hx),
+        "InformationCorrelation2": np.sqrt(np.maximum(1 - np.exp(-2 * (2 * hx - hxy)), 0)), "InverseDifferenceMoment": over(1 / (1 + (i - j) ** 2)),
+        "SumAverage": moments(sums)[0], "SumEntropy": entropy(sums), "SumOfSquaresVariance": variance, "SumVariance": moments(sums)[1],
+    }
+
+
 def tight_crop(labels: np.ndarray, number: int, values: np.ndarray | None = None) -> tuple[np.ndarray, int, int]:
     """The smallest image that holds an object (its mask, or values with 0 elsewhere) and its origin (row, column)."""
     at = np.argwhere(labels == number)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of value in which the ranks of a whole table are formed.
 RANGES = 1024
+#: As many of each key's, where there are keys.
+RANGES_OF_KEY = 64
 
 
 def missing_to_null(v: Column) -> Column:
@@ -47,23 +49,27 @@ def hazen(df: DataFrame, keys: list[str], value: str, shares: dict[str, float],
     """Percentiles of ``value`` by key: positions n * p + 0.5, linear between, clamped at the ends.
 
     Equal values are counted before anything is ranked, with partial counts on the map side; only distinct
-    values are sorted, a key's by a window that spills, and those of a whole table in ranges of value, so
-    that no task sorts them all. Nulls and NaN are left out.
+    values are sorted, in ranges of the table's or the key's values, so that no task sorts all of a table or of
+    a key that holds much of it. Nulls and NaN are left out.
     """
     v = missing_to_null(F.col(value))
     rows = df.filter(where) if where is not None else df
     counted = rows.select(*keys, v.alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    span = [F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+    ranges = RANGES_OF_KEY if keys else RANGES
     if keys:
-        by = Window.partitionBy(*keys)
-        ranked = counted.withColumn("_hi", F.sum("_c").over(by.orderBy("_v"))).withColumn("_n", F.sum("_c").over(by))
+        spans = rows.select(*keys, v.alias("_v")).filter("_v is not null").groupBy(*keys).agg(*span)
+        spanned, low, high = counted.join(spans, keys), F.col("_low"), F.col("_high")
     else:
-        span = counted.agg(F.struct(F.min("_v").alias("low"), F.max("_v").alias("high"))).scalar()
-        place = F.floor((F.col("_v") - span["low"]) / F.nullif(span["high"] - span["low"], F.lit(0.0)) * RANGES)
-        parted = counted.withColumn("_p", F.coalesce(F.least(place, F.lit(RANGES - 1)), F.lit(0)).cast("int"))
-        totals = parted.groupBy("_p").agg(F.sum("_c").alias("_t"))  # a row a range
-        starts = totals.select("_p", (F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).alias("_s"), F.sum("_t").over(Window.partitionBy()).alias("_n"))
-        up_to = F.sum("_c").over(Window.partitionBy("_p").orderBy("_v"))
-        ranked = parted.join(F.broadcast(starts), "_p").withColumn("_hi", F.col("_s") + up_to)
+        both = counted.agg(F.struct(*span)).scalar()
+        spanned, low, high = counted, both["_low"], both["_high"]
+    place = F.floor((F.col("_v") - low) / F.nullif(high - low, F.lit(0.0)) * ranges)
+    parted = spanned.withColumn("_p", F.coalesce(F.least(place, F.lit(ranges - 1)), F.lit(0)).cast("int")).select(*keys, "_v", "_c", "_p")
+    totals = parted.groupBy(*keys, "_p").agg(F.sum("_c").alias("_t"))  # a row a range
+    by = Window.partitionBy(*keys)
+    starts = totals.select(*keys, "_p", (F.sum("_t").over(by.orderBy("_p")) - F.col("_t")).alias("_s"), F.sum("_t").over(by).alias("_n"))
+    up_to = F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy("_v"))
+    ranked = parted.join(starts if keys else F.broadcast(starts), [*keys, "_p"]).withColumn("_hi", F.col("_s") + up_to)
     ranked = ranked.withColumn("_lo", F.col("_hi") - F.col("_c") + 1)
     return ranked.groupBy(*keys).agg(*(_weighted(p).alias(name) for name, p in shares.items()))
 
@@ -82,3 +88,8 @@ def _weighted(p: float) -> Column:
 def median_of(df: DataFrame, value: str, where: Column | None = None) -> Column:
     """The median of a whole table's column, as a scalar subquery."""
     return hazen(df, [], value, {"m": 0.5}, where).scalar()
+
+
+def medians(df: DataFrame, keys: list[str], value: str, name: str, where: Column | None = None) -> DataFrame:
+    """``keys`` and the median of ``value`` of every key, null where it has no value (that ``where`` lets pass)."""
+    return df.select(*keys).distinct().join(hazen(df, keys, value, {name: 0.5}, where), keys, "left")

@@ -14,7 +14,6 @@ SIMPLE: dict[str, Callable[[Column], Column]] = {
     "min": F.min,
     "max": F.max,
     "mean": F.avg,
-    "median": F.median,
     "std": stats.std_or_zero,
     "density": lambda v: F.count(F.lit(1)),
 }
@@ -53,6 +52,8 @@ def decimate(
         return rows.groupBy(*keys).agg(reducer(F.col("z")).alias("z"))
     if reducer in SIMPLE:
         return rows.groupBy(*keys).agg(SIMPLE[reducer](F.col("z")).alias("z"))
+    if reducer == "median":
+        return stats.medians(rows, keys, "z", "z")
     if reducer == "percentile":
         return stats.hazen(rows, keys, "z", {"z": share})
     if reducer == "mode":
@@ -60,8 +61,8 @@ def decimate(
         counted = rows.filter("z is not null").groupBy(*keys, (F.round(F.col("z") / q) * q).alias("v")).agg(F.count("*").alias("n"))
         return counted.groupBy(*keys).agg(F.max_by("v", F.struct(F.col("n"), -F.col("v"))).alias("z"))
     if reducer == "mad":
-        centre = rows.groupBy(*keys).agg(F.median("z").alias("m"))
-        return rows.join(centre, keys).groupBy(*keys).agg(F.median(F.abs(F.col("z") - F.col("m"))).alias("z"))
+        centre = stats.medians(rows, keys, "z", "m")
+        return stats.medians(rows.join(centre, keys).select(*keys, F.abs(F.col("z") - F.col("m")).alias("z")), keys, "z", "z")
     raise ValueError(f"no such reducer: {reducer}")
 
 

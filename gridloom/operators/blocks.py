@@ -47,7 +47,7 @@ def otsu(df: DataFrame, keys: list[str], value: str, scale: str = "linear") -> D
 def background(df: DataFrame, keys: list[str], value: str, threshold: Column) -> DataFrame:
     """Median of what lies below the threshold; 0 where nothing does."""
     v = stats.missing_to_null(F.col(value))
-    return df.groupBy(*keys).agg(F.coalesce(F.median(F.when(v < threshold, v)), F.lit(0.0)).alias("z"))
+    return stats.medians(df, keys, value, "z", v < threshold).withColumn("z", F.coalesce("z", F.lit(0.0)))
 
 
 def foreground(df: DataFrame, keys: list[str], value: str, threshold: Column) -> DataFrame:
@@ -59,7 +59,7 @@ def foreground(df: DataFrame, keys: list[str], value: str, threshold: Column) ->
 def stripe(df: DataFrame, x: Column, corrected: Column, where: Column | None = None) -> DataFrame:
     """Median over y of a corrected value for every x."""
     rows = df.filter(where) if where is not None else df
-    return rows.groupBy(x.alias("x")).agg(F.median(stats.missing_to_null(corrected)).alias("s"))
+    return stats.medians(rows.select(x.alias("x"), corrected.alias("_s")), ["x"], "_s", "s")
 
 
 def median_3x3(surface: DataFrame, x: str = "gx", y: str = "gy", z: str = "z") -> DataFrame:

@@ -149,14 +149,16 @@ def without_border(pixels: DataFrame, keys: list[str], block: list[str], x: str,
     return pixels.join(touching.select(*block, *keys), [*block, *keys], "left_anti")
 
 
-def offset_intensities(features: DataFrame, offset: Column, area: str) -> DataFrame:
-    """Adds an offset to integrated intensities, and its share of a pixel to means.
+def offset_intensities(features: DataFrame, offset: Column, area: str, channel: str | None = None) -> DataFrame:
+    """Adds an offset to integrated intensities, and its share of a pixel to means, of one channel or of all.
 
     Applies to the groups BasicProps and Intensity, and to the means of RadialIntensity.
     """
     per_pixel = offset / F.nullif(F.col(area).cast("double"), F.lit(0.0))
     changed = {}
     for c in features.columns:
+        if channel is not None and not c.startswith((f"BasicProps_Intensity_{channel}_", f"Intensity_{channel}_", f"RadialIntensity_{channel}_")):
+            continue
         if c.endswith("_Integrated") and c.startswith(("BasicProps_", "Intensity_")):
             changed[c] = F.col(c) + offset
         elif c.startswith("Intensity_") and c.endswith("_Mean") or c.startswith("RadialIntensity_") and "_Mean_" in c:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions import grid
+from gridloom.functions import grid, stats
+from gridloom.sources.scratch import written
 
 
 def blocks_with_mask(channel: DataFrame, mask: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,33 +59,45 @@ def boxes_to_tiles(boxes: DataFrame, tile: tuple[int, int], tiles_across: int, l
     return spread.withColumn("tile_id", F.col("ty") * F.lit(tiles_across) + F.col("tx"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, coordinates: list[str], cell: float, rounds: int = 24) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, coordinates: list[str], cell: float) -> DataFrame:
     """``point_id, target_id, distance`` of each point's nearest target; of equals the least id.
 
-    Points meet targets of the cells around their own by an equi-join. What is found within one cell's
-    width is certain; the other points go on with cells of twice the width. No pair beyond neighbouring
-    cells is formed, and the rounds end when every point is certain.
+    Points meet targets of the cells around their own by an equi-join. What is found within one cell's width is certain;
+    the other points go on with wider cells, at once with such as reach the box of all targets, until a cell is as wide as
+    all that is left of both. Each round is written, so that none is computed again. A point with a missing coordinate,
+    and every point where there is no target, has nulls; targets with a missing coordinate are left out.
     """
-    found, left = None, points.select(F.col(point_id).alias("_p"), *(F.col(c).cast("double").alias(f"_a{k}") for k, c in enumerate(coordinates)))
-    there = targets.select(F.col(target_id).alias("_t"), *(F.col(c).cast("double").alias(f"_b{k}") for k, c in enumerate(coordinates)))
-    dims, step = range(len(coordinates)), F.array(F.lit(-1), F.lit(0), F.lit(1))
-    for r in range(rounds):
-        width = F.lit(float(cell * 2**r))
-        near = there
+    dims = range(len(coordinates))
+    place = lambda df, key, name, side: df.select(F.col(key).alias(name), *(stats.missing_to_null(F.col(c)).alias(f"{side}{k}") for k, c in enumerate(coordinates)))
+    known = lambda side: functools.reduce(Column.__and__, (F.col(f"{side}{k}").isNotNull() for k in dims))
+    every, there = place(points, point_id, "_p", "_a"), place(targets, target_id, "_t", "_b").filter(known("_b"))
+    left = every.filter(known("_a"))
+    box = there.agg(F.count("*").alias("n"), *(f(f"_b{k}").alias(f"{n}{k}") for k in dims for n, f in (("low", F.min), ("high", F.max)))).first()
+    none = every.filter(~known("_a") if box.n else F.lit(True)).select("_p", F.lit(None).cast(there.schema["_t"].dataType).alias("_t"), F.lit(None).cast("double").alias("_d"))
+    found, step, r = none, F.array(F.lit(-1), F.lit(0), F.lit(1)), 0
+    gap = [F.greatest(F.lit(box[f"low{k}"]) - F.col(f"_a{k}"), F.col(f"_a{k}") - F.lit(box[f"high{k}"]), F.lit(0.0)) for k in dims] if box.n else []
+    far = [F.greatest(F.abs(F.col(f"_a{k}") - F.lit(box[f"low{k}"])), F.abs(F.col(f"_a{k}") - F.lit(box[f"high{k}"]))) for k in dims] if box.n else []
+    length = lambda parts: F.sqrt(sum((g * g for g in parts), F.lit(0.0)))
+    while box.n:
+        # of what is left: the least distance that any point can have to a target, and the most
+        reach = left.agg(F.count("*").alias("n"), F.min(length(gap)).alias("least"), F.max(length(far)).alias("most")).first()
+        if not reach.n:
+            break
+        while cell * 2.0**r < reach.least:
+            r += 1
+        last = cell * 2.0**r >= reach.most
+        width = F.lit(float(cell * 2.0**r))
+        near, own = there, left
         for k in dims:
             near = near.select("*", F.explode(step).alias("_s")).withColumn(f"_c{k}", F.floor(F.col(f"_b{k}") / width) + F.col("_s")).drop("_s")
-        own = left
-        for k in dims:
             own = own.withColumn(f"_c{k}", F.floor(F.col(f"_a{k}") / width))
-        apart = F.lit(0.0)
-        for k in dims:
-            apart = apart + (F.col(f"_a{k}") - F.col(f"_b{k}")) * (F.col(f"_a{k}") - F.col(f"_b{k}"))
-        best = own.join(near, [f"_c{k}" for k in dims]).groupBy("_p").agg(F.min(F.struct(F.sqrt(apart).alias("d"), F.col("_t").alias("t"))).alias("m"))
-        sure = best.filter(F.col("m.d") <= width).select("_p", F.col("m.t").alias("_t"), F.col("m.d").alias("_d"))
-        found = sure if found is None else found.unionByName(sure)
-        left = left.join(sure.select("_p"), "_p", "left_anti")
-        if left.isEmpty():
+        apart = length([F.col(f"_a{k}") - F.col(f"_b{k}") for k in dims])
+        best = own.join(near, [f"_c{k}" for k in dims]).groupBy("_p").agg(F.min(F.struct(apart.alias("d"), F.col("_t").alias("t"))).alias("m"))
+        sure = written((best if last else best.filter(F.col("m.d") <= width)).select("_p", F.col("m.t").alias("_t"), F.col("m.d").alias("_d")), "nearest")
+        found = found.unionByName(sure)
+        if last:
             break
+        left, r = written(left.join(sure.select("_p"), "_p", "left_anti"), "left"), r + 1
     return found.select(F.col("_p").alias(point_id), F.col("_t").alias(target_id), F.col("_d").alias("distance"))
 
 

@@ -123,6 +123,42 @@ def levels(blocks: DataFrame, thresholds: DataFrame) -> DataFrame:
     return known.mapInPandas(run, "image_id string, channel string, bx int, by int, background double, foreground double")
 
 
+def outside_levels(blocks: DataFrame, masks: DataFrame) -> DataFrame:
+    """Median of each block's smoothed pixels outside the objects (eroded by a diamond); 0 where there are none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = []
+            for r in pdf.itertuples():
+                outside = kernels.erode(np.asarray(r.mask).reshape(r.h, r.w) <= 0, kernels.diamond(2))
+                found.append(float(np.median(kernels.gaussian(image_of(r))[outside])) if outside.any() else 0.0)
+            yield pdf[["image_id", "channel", "bx", "by"]].assign(background=found)
+
+    keys = ["image_id", "bx", "by"]
+    known = joins.blocks_with_mask(blocks, masks.select(*keys, F.col("pixels").alias("mask")), keys)
+    return known.mapInPandas(run, "image_id string, channel string, bx int, by int, background double")
+
+
+def corrected_blocks(blocks: DataFrame, backgrounds: DataFrame, correction: Callable[[np.ndarray, dict], np.ndarray], grids: dict[str, dict[str, tuple]]) -> DataFrame:
+    """Blocks through a correction of arrays, with their background as ``BG_o`` and their channel's surfaces.
+
+    ``grids`` holds for each channel surfaces (nodes x, nodes y, z) by name; each is evaluated at the pixels' places in
+    the image, from 1.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples():
+                y, x = np.mgrid[r.y0 + 1 : r.y0 + r.h + 1, r.x0 + 1 : r.x0 + r.w + 1]
+                own = {name: kernels.bilinear(z, gx, gy, x.ravel().astype(float), y.ravel().astype(float)).reshape(r.h, r.w) for name, (gx, gy, z) in grids.get(r.channel, {}).items()}
+                out.append(correction(image_of(r), own | {"BG_o": r.background}).astype(np.float32).ravel())
+            yield pdf.drop(columns="background").assign(pixels=out)
+
+    known = blocks.join(backgrounds, ["image_id", "channel", "bx", "by"]).select(*blocks.columns, "background")
+    return known.mapInPandas(run, blocks.schema)
+
+
 # ---- partitioners
 
 
@@ -154,10 +190,12 @@ class Partitioner(ABC):
             return mask
         found = kernels.label(mask)
         keep = np.zeros(found.max(initial=0) + 1, bool)
+        y_at, x_at = np.nonzero(found)
+        own = found[y_at, x_at]
+        sums = [np.bincount(own, v, len(keep)) for v in (np.ones(len(own)), image[y_at, x_at], x_at, y_at)]
         for k in range(1, len(keep)):
-            at = np.argwhere(found == k)
-            area, total = float(len(at)), float(image[found == k].sum())
-            y, x = at.mean(0) + 1 + np.array(origin[::-1])
+            area, total, x, y = (float(v[k]) for v in sums)
+            x, y = x / area + 1 + origin[0], y / area + 1 + origin[1]
             area = self.area_normaliser(area, x, y) if self.area_normaliser else area
             total = self.intensity_normaliser(total, x, y) if self.intensity_normaliser else total
             keep[k] = _inside(total, area, self.contour)
@@ -189,14 +227,22 @@ class DistanceWatershed(Partitioner):
     smoothing_size: float = 4.0
 
     def divide(self, mask: np.ndarray, image: np.ndarray) -> np.ndarray:
-        found, out = kernels.label(mask), np.zeros_like(mask)
-        for k in range(1, found.max(initial=0) + 1):
-            own, y0, x0 = kernels.tight_crop(found, k)
-            padded = np.pad(own, 1)
-            depth = kernels.opening(kernels.distance(padded), kernels.disk(self.smoothing_size))
-            basins = kernels.watershed(np.where(padded, -depth, 0.0))
-            h, w = own.shape
-            out[y0 : y0 + h, x0 : x0 + w] |= own & (basins[1:-1, 1:-1] > 0)
+        """Distances and minima of all objects at once: objects don't touch, so none changes those of another. Only objects
+        of several minima are flooded."""
+        found = kernels.label(mask)
+        depth = kernels.opening(kernels.distance(np.pad(mask, 1)), kernels.disk(self.smoothing_size))
+        minima = kernels.label(kernels.regional_minima(-depth[1:-1, 1:-1], mask))
+        at = np.flatnonzero(minima)
+        owner = np.zeros(minima.max(initial=0) + 1, int)
+        owner[minima.ravel()[at]] = found.ravel()[at]
+        several = np.bincount(owner[1:], minlength=found.max(initial=0) + 1) > 1
+        out = mask & ~several[found]
+        for k, own, y0, x0 in kernels.crops(found):
+            if several[k]:
+                h, w = own.shape
+                padded = np.pad(own, 1)
+                basins = kernels.watershed(np.where(padded, -depth[y0 : y0 + h + 2, x0 : x0 + w + 2], 0.0))
+                out[y0 : y0 + h, x0 : x0 + w] |= own & (basins[1:-1, 1:-1] > 0)
         return out
 
 
@@ -270,10 +316,10 @@ def channels_side_by_side(pixels: DataFrame, channels: list[str]) -> DataFrame:
 def array_features(blocks: DataFrame, masks: DataFrame, kinds: dict[str, dict]) -> DataFrame:
     """Features that need whole objects or blocks, as (object, name, value) rows.
 
-    Kinds: ``shape`` (solidity, form factor, Fourier descriptors; options vertices, descriptors) and
-    ``granularity`` (options spectrum, element, sample, background_sample).
+    Kinds: ``shape`` (solidity, form factor, Fourier descriptors; options vertices, descriptors), ``granularity``
+    (options spectrum, element, sample, background_sample) and ``haralick`` (option distances).
     """
-    if unknown := set(kinds) - {"shape", "granularity"}:
+    if unknown := set(kinds) - {"shape", "granularity", "haralick"}:
         raise ValueError(f"no such features: {', '.join(sorted(unknown))}")
     keys = ["image_id", "bx", "by"]
     mask = masks.select(*keys, F.col("pixels").alias("mask"))
@@ -290,6 +336,11 @@ def array_features(blocks: DataFrame, masks: DataFrame, kinds: dict[str, dict])
                     table = kernels.granularity(image_of(r), found, **options)
                     name = f"Granularity_{r.channel}_E{options.get('element', 10):g}"
                     rows += [(k + 1, f"{name}_{j + 1}", float(v)) for k, line in enumerate(table) for j, v in enumerate(line)]
+                if "haralick" in kinds and found.any():
+                    for d in kinds["haralick"].get("distances", (1,)):
+                        for name, values in kernels.texture(kernels.cooccurrences(image_of(r), found, d)).items():
+                            # directions without a pair of pixels count as 0, as undefined features do
+                            rows += [(k + 1, f"HaralickTexture_{r.channel}_{name}_{d}", float(v)) for k, v in enumerate(values.mean(1))]
                 if rows:
                     out = pd.DataFrame(rows, columns=["label", "name", "value"])
                     yield out.assign(image_id=r.image_id, channel=r.channel, bx=r.bx, by=r.by)[["image_id", "channel", "bx", "by", "label", "name", "value"]]
@@ -297,10 +348,22 @@ def array_features(blocks: DataFrame, masks: DataFrame, kinds: dict[str, dict])
     return joins.blocks_with_mask(blocks, mask, keys).mapInPandas(run, "image_id string, channel string, bx int, by int, label int, name string, value double")
 
 
+def array_names(channels: list[str], kinds: dict[str, dict]) -> list[str]:
+    """The names that :func:`array_features` gives with these options, in order."""
+    out = [name for _, name, _ in shape_rows(kernels.disk(3).astype(int), **kinds["shape"])] if "shape" in kinds else []
+    for c in channels:
+        if "granularity" in kinds:
+            options = kinds["granularity"]
+            out += [f"Granularity_{c}_E{options.get('element', 10):g}_{j + 1}" for j in range(options.get("spectrum", 10))]
+        if "haralick" in kinds:
+            features_ = kernels.texture(np.zeros((1, kernels.GREY_LEVELS, kernels.GREY_LEVELS)))
+            out += [f"HaralickTexture_{c}_{n}_{d}" for d in kinds["haralick"].get("distances", (1,)) for n in features_]
+    return out
+
+
 def shape_rows(labels: np.ndarray, vertices: int = 100, descriptors: int = 10) -> list[tuple[int, str, float]]:
     out = []
-    for k in range(1, labels.max(initial=0) + 1):
-        own, _, _ = kernels.tight_crop(labels, k)
+    for k, own, _, _ in kernels.crops(labels):
         line, area = kernels.boundary(own), float(own.sum())
         hull, length = kernels.hull_area(line), kernels.perimeter(line)
         out.append((k, "Shape_Solidity", area / hull if hull else float("inf")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from gridloom.functions import kernels
+from gridloom.functions import kernels, stats
 from gridloom.operators import binning
 
 #: A surface with more bins than this is refused: its image should be cut.
@@ -163,7 +163,8 @@ def _profile(points: DataFrame, low: float, high: float, step: float, bounds: tu
     for _ in range(most):
         z = _divided(F.col("x"), F.col("z"), centres, factors)
         rows = points.select("x", z.alias("z")).filter((F.col("z") > bounds[0]) & (F.col("z") < bounds[1]))
-        bins = rows.groupBy(F.floor((F.col("x") - F.lit(float(edges[0]))) / F.lit(float(step))).cast("int").alias("k")).agg(F.median("z").alias("m"), F.count("*").alias("n"), F.sum(F.col("z") * F.col("z")).alias("q"))
+        rows = rows.withColumn("k", F.floor((F.col("x") - F.lit(float(edges[0]))) / F.lit(float(step))).cast("int"))
+        bins = rows.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("z")).alias("q")).join(stats.hazen(rows, ["k"], "z", {"m": 0.5}), "k")
         found = bins.filter(F.col("k").between(0, len(total) - 1)).toPandas()
         one = np.ones(len(total))
         one[found.k.to_numpy(int)] = found.m.to_numpy(float)

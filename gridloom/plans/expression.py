@@ -11,6 +11,7 @@ from __future__ import annotations
 import ast
 import operator
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,10 +25,40 @@ class ExpressionError(ValueError):
     pass
 
 
+class _LeftPowers(ast.NodeTransformer):
+    """Powers that stand side by side are taken from the left, unlike Python's: a ^ b ^ c is (a ^ b) ^ c."""
+
+    def __init__(self, source: str):
+        self.source = source.encode()  # columns of nodes count bytes
+
+    def _open(self, node: ast.expr) -> bool:
+        """Whether an operand stands without parentheses of its own."""
+        return not self.source[: node.col_offset].rstrip().endswith(b"(")
+
+    def visit_BinOp(self, node: ast.BinOp) -> ast.expr:
+        if not isinstance(node.op, ast.Pow):
+            return self.generic_visit(node)
+        operands, right = [node.left], node.right
+        while True:
+            sign, power = None, right
+            if isinstance(right, ast.UnaryOp) and self._open(right):
+                sign, power = right.op, right.operand
+            if not (isinstance(power, ast.BinOp) and isinstance(power.op, ast.Pow) and self._open(power)):
+                operands.append(right)
+                break
+            operands.append(power.left if sign is None else ast.UnaryOp(sign, power.left))
+            right = power.right
+        out = self.visit(operands[0])
+        for exponent in operands[1:]:
+            out = ast.BinOp(out, ast.Pow(), self.visit(exponent))
+        return out
+
+
 def parse(text: str, required: tuple[str, ...] = (SIGNAL,)) -> ast.expr:
+    source = " ".join(text.replace(".^", "^").replace(".*", "*").replace("./", "/").replace("^", "**").split())
     try:
-        tree = ast.parse(text.replace(".^", "^").replace(".*", "*").replace("./", "/").replace("^", "**").strip(), mode="eval").body
-    except SyntaxError as e:
+        tree = _LeftPowers(source).visit(ast.parse(source, mode="eval").body)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         raise ExpressionError(f"not an expression: {text}") from e
     used = set()
     for node in ast.walk(tree):
@@ -68,7 +99,10 @@ def simplify(node: ast.expr) -> ast.expr:
     left, right, kind = simplify(node.left), simplify(node.right), type(node.op)
     a, b = _number(left), _number(right)
     if a is not None and b is not None and not (kind is ast.Div and b == 0):
-        return ast.Constant(float(_OPERATORS[kind](a, b)))
+        try:
+            return ast.Constant(float(_OPERATORS[kind](a, b)))
+        except (TypeError, ArithmeticError, ValueError) as e:  # a root of a negative number, 0 to a negative power, too large
+            raise ExpressionError(f"{a:g} {_SIGNS[kind]} {b:g} is no number") from e
     if kind in (ast.Add, ast.Sub) and b == 0:
         return left
     if kind is ast.Add and a == 0:
@@ -126,6 +160,21 @@ def to_column(node: ast.expr, columns: dict[str, Column]) -> Column:
     return F.try_divide(a, b) if isinstance(node.op, ast.Div) else _OPERATORS[type(node.op)](a, b)
 
 
+def to_array(node: ast.expr, arrays: dict[str, np.ndarray | float]) -> np.ndarray | float:
+    """As :func:`to_column`, of arrays; division by zero gives NaN, which is what is missing there."""
+    if isinstance(node, ast.Constant):
+        return float(node.value)
+    if isinstance(node, ast.Name):
+        return arrays[node.id]
+    if isinstance(node, ast.UnaryOp):
+        return -to_array(node.operand, arrays)
+    a, b = to_array(node.left, arrays), to_array(node.right, arrays)
+    with np.errstate(all="ignore"):
+        if isinstance(node.op, ast.Div):
+            return np.divide(a, np.where(np.equal(b, 0), np.nan, b))
+        return np.power(a, b) if isinstance(node.op, ast.Pow) else _OPERATORS[type(node.op)](a, b)
+
+
 class Correction:
     """An expression with the surfaces that are known so far."""
 
@@ -144,5 +193,9 @@ class Correction:
     def current(self) -> str:
         return to_text(without_undefined(self.tree, set(self.surfaces)))
 
+    def array(self, signal: np.ndarray, surfaces: dict[str, np.ndarray | float]) -> np.ndarray:
+        """The corrected signal as an array, with the surfaces that are given; others vanish."""
+        return np.broadcast_to(to_array(without_undefined(self.tree, set(surfaces)), surfaces | {SIGNAL: signal}), signal.shape)
+
     def column(self, signal: Column, remove_undefined: bool = True) -> Column:
         return to_column(without_undefined(self.tree, set(self.surfaces), remove_undefined), self.surfaces | {SIGNAL: signal})

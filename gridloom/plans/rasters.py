@@ -5,17 +5,16 @@ SQL expresses none of the array kernels; the tests hold these against brute forc
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import corrections, features, raster, surface
 from gridloom.plans.experiment import Experiment
 from gridloom.plans.registry import query
 from gridloom.sources import table
-from gridloom.streaming.features import windowed_features
+from gridloom.sources.scratch import folder
+from gridloom.streaming.features import last_states, windowed_features
 
 SIDE = 8
 
@@ -43,16 +42,23 @@ def _masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return b, raster.object_masks(b, raster.block_thresholds(b, corrected=True), raster.DistanceWatershed(2, 3, smoothing_size=1.0))
 
 
-@query()
+def _total(pixels: str = "pixels") -> Column:
+    return F.round(F.aggregate(pixels, F.lit(0.0), lambda a, p: a + p), 4)
+
+
+@query("""SELECT CAST(tx // 2 AS INTEGER) AS bx, CAST(ty // 2 AS INTEGER) AS by, CAST(max(8 * ty + 8) - min(ty // 2) * 16 AS INTEGER) AS h,
+CAST(max(8 * tx + 8) - min(tx // 2) * 16 AS INTEGER) AS w, round(sum(s), 4) AS total
+FROM (SELECT vec_id % 64 AS tx, vec_id // 64 AS ty, list_sum(list_transform(embedding, lambda v: CAST(CAST(v AS FLOAT) AS DOUBLE))) AS s FROM embeddings WHERE len(embedding) = 64) GROUP BY tx // 2, ty // 2""")
 def tile_to_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tiles(spark, sf_dir).drop("channel")
     out = raster.to_blocks(t, 2, (SIDE, SIDE), "DAPI")
-    return out.select("bx", "by", "h", "w", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, p: a + p), 4).alias("total"))
+    return out.select("bx", "by", "h", "w", _total().alias("total"))
 
 
-@query()
+@query("""SELECT CAST(vec_id % 64 AS INTEGER) AS tx, CAST(8 * count(*) AS INTEGER) AS h, 8 AS w, CAST(64 * count(*) AS INTEGER) AS n,
+round(sum(list_sum(list_transform(embedding, lambda v: CAST(CAST(v AS FLOAT) AS DOUBLE)))), 4) AS total FROM embeddings WHERE len(embedding) = 64 GROUP BY vec_id % 64""")
 def tile_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.strips(tiles(spark, sf_dir), "tx").select("tx", "h", "w", F.size("pixels").alias("n"))
+    return raster.strips(tiles(spark, sf_dir), "tx").select("tx", "h", "w", F.size("pixels").alias("n"), _total().alias("total"))
 
 
 @query()
@@ -60,7 +66,15 @@ def block_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.block_thresholds(blocks(spark, sf_dir), corrected=True)
 
 
-@query()
+_WAVE = "2 * pi() * (u * (k // 8) + w * (k % 8)) / 8"
+
+
+@query(f"""WITH e AS (SELECT vec_id, CAST(CAST(unnest(embedding) AS FLOAT) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings WHERE len(embedding) = 64),
+f AS (SELECT unnest(range(8)) AS u), g AS (SELECT unnest(range(8)) AS w),
+t AS (SELECT vec_id, u, w, sum(v * cos({_WAVE})) AS re, sum(v * sin({_WAVE})) AS im FROM e CROSS JOIN f CROSS JOIN g GROUP BY vec_id, u, w),
+m AS (SELECT vec_id, sqrt(re * re + im * im) AS m FROM t), x AS (SELECT vec_id, max(m) AS mx FROM m GROUP BY vec_id)
+SELECT 'embeddings' AS image_id, 'DAPI' AS channel, CAST(vec_id % 64 AS INTEGER) AS bx, CAST(vec_id // 64 AS INTEGER) AS by, sum(CASE WHEN m > mx / 1000 THEN 1 ELSE 0 END) / 8.0 AS sharpness
+FROM m JOIN x USING (vec_id) GROUP BY vec_id""")
 def sharpness_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.block_sharpness(blocks(spark, sf_dir))
 
@@ -114,9 +128,25 @@ def experiment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
+def experiment_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features after all corrections from the image itself, texture among them."""
+    groups = features.FeatureExtractor([features.BasicProps("DAPI"), features.Intensity("DAPI")])
+    b = wide_blocks(spark, sf_dir)
+    side = b.agg(F.max(F.col("x0") + F.col("w")), F.max(F.col("y0") + F.col("h"))).first()
+    e = Experiment(b, ["DAPI"], "DAPI", raster.DistanceWatershed(2, 3, smoothing_size=1.0), groups).create_object_mask(corrected=True)
+    return e.correct((4 * SIDE, 4 * SIDE), (float(side[0]), float(side[1]))).compute_features((4 * SIDE, 4 * SIDE), {"haralick": {"distances": (1,)}})
+
+
+@query("""WITH p AS (SELECT (vec_id % 64) * 8 + (k - 1) % 8 AS px, (vec_id // 64) * 8 + (k - 1) // 8 AS py, CAST(v AS DOUBLE) AS v
+FROM (SELECT vec_id, CAST(unnest(embedding) AS FLOAT) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE len(embedding) = 64)),
+o AS (SELECT s_suppkey AS object_id, s_suppkey * 7 % 500 + 1 AS x, s_suppkey * 3 % 60 + 1 AS y FROM supplier), r AS (SELECT unnest(range(11)) AS i), c AS (SELECT unnest(range(11)) AS j),
+a AS (SELECT object_id, 11 * i + j AS pos, x - 6 + j AS px, y - 6 + i AS py FROM o CROSS JOIN r CROSS JOIN c)
+SELECT object_id, 'DAPI' AS channel, 11 AS h, 11 AS w, round(sum(v), 4) AS total, round(sum(v * pos), 3) AS moment FROM a JOIN p USING (px, py) GROUP BY object_id""")
 def roi_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("object_id"), (F.col("s_suppkey") * 7 % 500 + 1).alias("x"), (F.col("s_suppkey") * 3 % 60 + 1).alias("y"))
-    return raster.extract_images(objects, tiles(spark, sf_dir), (SIDE, SIDE), 64, (11, 11))
+    out = raster.extract_images(objects, tiles(spark, sf_dir), (SIDE, SIDE), 64, (11, 11))
+    weighted = F.transform("pixels", lambda p, at: p.cast("double") * at)
+    return out.select("object_id", "channel", "h", "w", _total().alias("total"), F.round(F.aggregate(weighted, F.lit(0.0), lambda a, p: a + p), 3).alias("moment"))
 
 
 def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,13 +186,12 @@ def stripe_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly features of the event stream, read to its present end."""
+    """Hourly features of the event stream, read to its present end. Each batch writes the windows that it changed, and the
+    last state of each window counts, so that no window is held by the driver and late rows are left out."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
     if table(spark, sf_dir, "events").inputFiles()[0].rstrip("/").split("/")[-1] != "events.parquet":  # a folder of parts
         stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
-    name = f"windows_{uuid.uuid4().hex}"
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    q = windowed_features(stream, "ts", ["event_type"], "value").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    now = last_states(windowed_features(stream, "ts", ["event_type"], "value"), ["window", "event_type"], folder(spark, "windows"))
+    return now.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -464,9 +464,9 @@ def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.member_of(table(spark, sf_dir, "customer"), urgent, ["c_custkey"]).select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return joins.not_member_of(table(spark, sf_dir, "customer"), orders, ["c_custkey"]).select("c_custkey")
 
 
@@ -573,10 +573,10 @@ def argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.max_by("l_orderkey", F.struct("l_extendedprice", -F.col("l_orderkey"))).alias("l_orderkey"))
 
 
-@query()
+@query("SELECT s_suppkey FROM (SELECT s_suppkey FROM supplier ORDER BY md5(CAST(s_suppkey AS VARCHAR) || '/7'), s_suppkey LIMIT 10) ORDER BY s_suppkey")
 def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten objects without replacement by a seeded order, ids sorted."""
-    return table(spark, sf_dir, "supplier").orderBy(F.xxhash64("s_suppkey", F.lit(7)), "s_suppkey").limit(10).select("s_suppkey").orderBy("s_suppkey")
+    return table(spark, sf_dir, "supplier").orderBy(F.md5(F.concat(F.col("s_suppkey").cast("string"), F.lit("/7")).cast("binary")), "s_suppkey").limit(10).select("s_suppkey").orderBy("s_suppkey")
 
 
 @query(f"WITH p AS ({_PIXELS}) SELECT block, label, count(*) AS area FROM p GROUP BY ALL ORDER BY block, label")
@@ -595,9 +595,9 @@ def unique_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0")
+@query("SELECT DISTINCT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("nation"))
+    s = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("nation"))
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).distinct().subtract(s)
 
 

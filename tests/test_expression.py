@@ -35,3 +35,17 @@ def test_values_and_division_by_zero(spark):
     df = spark.createDataFrame([(3.0, 1.0, 2.0), (3.0, 1.0, 0.0)], "S double, b double, f double")
     c = Correction(FULL).with_surface("BG_o", F.col("b")).with_surface("FG_f", F.col("f"))
     assert [r.c for r in df.select(c.column(F.col("S")).alias("c")).collect()] == [1.0, None]
+
+
+@pytest.mark.parametrize("text", ["S*(0-8)^(1/3)", "S+0^(0-1)", "S*9^9^9^9", "S + 1e999 * (1e308 ^ 2)", "S" + "+(" * 300 + "1" + ")" * 300])
+def test_numbers_that_cannot_be_folded(text):
+    with pytest.raises(ExpressionError):
+        Correction(text).current
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [("2^3^2", 64), ("2^(3^2)", 512), ("2^-1^2", 0.25), ("(2^3)^2", 64), ("2^3^2^0.5", 8), ("2^(1+1)^2", 16), ("-2^2", -4), ("2.^3.^2*1", 64), ("2^(3)^2", 64), ("4^3^2/2", 2048)],
+)
+def test_powers_from_the_left(text, value):
+    assert simplify(parse(text, ())).value == value if not text.startswith("-") else to_text(simplify(parse(text, ()))) == "-4"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import kernels as K
 from gridloom.operators import features, raster
+from gridloom.operators import texture
 from gridloom.plans.experiment import Experiment, load_features, save_features
 from gridloom.sources import tiff
 
@@ -198,3 +199,68 @@ def test_feature_groups_are_saved_and_checked(spark):
     assert features.FeatureGroup.from_json(g.to_json()) == g
     with pytest.raises(ValueError):
         features.FeatureExtractor([features.EmptyFeature(), features.Intensity("no")]).compute(spark.range(3), ["id"])
+
+
+def test_corrections_from_the_image(spark):
+    """A planted background, a slope of the factor and two bands: after correction the bands lie at 1 and 2."""
+    g = np.random.default_rng(11)
+    side, n = 128, 4
+    yy, xx = np.mgrid[-6:7, -6:7]
+    spot = np.clip(1 - (xx * xx + yy * yy) / 40, 0, None)
+    image = np.zeros((side * n, side * n))
+    true = {}
+    for y in range(12, side * n - 8, 20):
+        for x in range(12, side * n - 8, 20):
+            if min(y % side, x % side) < 10 or max(y % side, x % side) > side - 11:
+                continue
+            band = 2.0 if g.random() < 0.25 else 1.0
+            true[x + 1, y + 1] = band
+            image[y - 6 : y + 7, x - 6 : x + 7] += spot * band * (1 + x / (side * n)) * g.normal(1, 0.02)
+    image = (image + 0.4 + 0.002 * g.random(image.shape)) / 6
+    rows = [("i", "DAPI", bx, by, bx * side, by * side, side, side, image[by * side : (by + 1) * side, bx * side : (bx + 1) * side].astype(np.float32).ravel().tolist()) for by in range(n) for bx in range(n)]
+    rows += [("i", "GFP", *r[2:8], [0.5 * v + 0.1 for v in r[8]]) for r in rows]
+    blocks = spark.createDataFrame(rows, raster.BLOCK)
+    groups = features.FeatureExtractor([features.BasicProps("DAPI"), features.Intensity("DAPI"), features.Intensity("GFP"), features.Location()])
+    e = Experiment(blocks, ["DAPI", "GFP"], "DAPI", raster.DistanceWatershed(30, 5), groups).create_object_mask(corrected=True)
+    raw = {(round(r.Location_Centroid_X), round(r.Location_Centroid_Y)): r for r in e.compute_features((side, side)).collect()}
+    done = e.correct((side, side), (float(side * n), float(side * n)), per_bin=20)
+    out = {(round(r.Location_Centroid_X), round(r.Location_Centroid_Y)): r for r in done.compute_features((side, side)).collect()}
+    assert set(out) == set(raw) and len(set(out) & set(true)) > 0.95 * len(true)
+    for band in (1.0, 2.0):
+        at = [k for k in out if true.get(k) == band]
+        v, before = (np.array([t[k].Intensity_DAPI_Integrated for k in at]) for t in (out, raw))
+        x = np.array([k[0] for k in at], float)
+        thirds = lambda v: [float(np.median(v[(x >= side * n * k / 3) & (x < side * n * (k + 1) / 3)])) for k in range(3)]
+        assert abs(np.median(v) - band) < 0.1 * band and np.ptp(thirds(before)) / np.mean(thirds(before)) > 0.3
+        assert np.ptp(thirds(v)) < 0.15 * band and np.median(np.abs(v - np.median(v))) < 0.1
+
+
+def test_columns_of_the_example(spark):
+    """The options of the example give 122 feature columns of two channels; texture equals the relational operator's."""
+    g = np.random.default_rng(12)
+    a = K.gaussian(g.random((60, 70)), 3, 19)
+    rows = [("i", c, 0, 0, 0, 0, 60, 70, (a * k).astype(np.float32).ravel().tolist()) for k, c in ((1.0, "DAPI"), (0.7, "GFP"))]
+    mask = [("i", "DAPI", 0, 0, 0, 0, 60, 70, (a > np.quantile(a, 0.7)).astype(np.float32).ravel().tolist())]
+    blocks, masks = spark.createDataFrame(rows, raster.BLOCK), spark.createDataFrame(mask, raster.BLOCK)
+    channels = ["DAPI", "GFP"]
+    groups = [features.Location(), features.Ellipse()]
+    for c in channels:
+        groups += [features.Intensity(c), features.RadialIntensity(c, rings=3, width=4)]
+    e = Experiment(blocks, channels, "DAPI", raster.NoPartition(), features.FeatureExtractor(groups), masks)
+    f = e.compute_features((70, 60), {"shape": {"vertices": 100, "descriptors": 20}, "granularity": {"spectrum": 7, "element": 10}, "haralick": {"distances": (3, 7)}})
+    names = [c for c in f.columns if c not in ("image_id", "bx", "by", "label")]
+    want = [f"Location_{n}" for n in ("Centroid_X", "Centroid_Y", "BBox_L", "BBox_T", "BBox_W", "BBox_H")]
+    want += [f"Shape_{n}" for n in ("Area", "MajorAxisLength", "MinorAxisLength", "Eccentricity", "Solidity", "FormFactor")] + [f"Shape_FourierDescriptor_{k}" for k in range(2, 20)]
+    for c in channels:
+        want += [f"Intensity_{c}_{n}" for n in ("Integrated", "Mean", "Std", "Skewness", "Kurtosis")]
+        want += [f"RadialIntensity_{c}_{n}_W4_{k}" for n in ("Mean", "Std") for k in ("Center", "R3", "R2", "R1")]
+        want += [f"HaralickTexture_{c}_{n}_{d}" for n in texture.NAMES for d in (3, 7)] + [f"Granularity_{c}_E10_{k}" for k in range(1, 8)]
+    assert len(names) == 122 and sorted(names) == sorted(want)
+    rows = {r.label: r for r in f.collect()}
+    flat = texture.haralick(e.pixels(), ["label"], "GFP", (3, 7)).collect()
+    assert len(flat) == len(rows) > 2
+    for r in flat:
+        for n in texture.NAMES:
+            for d in (3, 7):
+                name = f"HaralickTexture_GFP_{n}_{d}"
+                assert np.isclose(rows[r.label][name], r[name] or 0.0, atol=1e-6), (r.label, name)

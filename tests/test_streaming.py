@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from gridloom.operators import features
-from gridloom.streaming.features import append_features, windowed_features
+from gridloom.streaming.features import append_features, last_states, windowed_features
 
 
 def test_windows_and_blocks(spark, tmp_path):
@@ -9,9 +9,8 @@ def test_windows_and_blocks(spark, tmp_path):
     df = spark.createDataFrame(rows, "id long, ts string, k string, v double").withColumn("ts", F.to_timestamp("ts"))
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = windowed_features(stream, "ts", ["k"], "v").writeStream.outputMode("complete").format("memory").queryName("w1").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r.h, r.k): (r.n, r.total) for r in spark.table("w1").select(F.hour("window.start").alias("h"), "k", "n", "total").collect()}
+    out = last_states(windowed_features(stream, "ts", ["k"], "v"), ["window", "k"], str(tmp_path / "states"))
+    got = {(r.h, r.k): (r.n, r.total) for r in out.select(F.hour("window.start").alias("h"), "k", "n", "total").collect()}
     want = {(r.h, r.k): (r.n, r.total) for r in df.groupBy(F.hour("ts").alias("h"), "k").agg(F.count("*").alias("n"), F.sum("v").alias("total")).collect()}
     assert got == want
 
@@ -21,3 +20,14 @@ def test_windows_and_blocks(spark, tmp_path):
     append_features(stream, features.FeatureExtractor([features.BasicProps("v")]), ["label"], str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.label, r.BasicProps_Area) for r in out.collect()} == {("a", 30), ("b", 30)}
+
+
+def test_last_states_over_batches(spark, tmp_path):
+    """Each window's state after several batches, without what came later than the watermark."""
+    schema = "ts timestamp, k string, v double"
+    for n, rows in enumerate([[("2024-01-01 01:10:00", 1.0), ("2024-01-01 05:10:00", 2.0)], [("2024-01-01 05:20:00", 3.0), ("2024-01-01 01:20:00", 9.0)], [("2024-01-01 05:30:00", 4.0)]]):
+        df = spark.createDataFrame([(t, "a", v) for t, v in rows], "ts string, k string, v double").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = last_states(windowed_features(stream, "ts", ["k"], "v"), ["window", "k"], str(tmp_path / "states"))
+    assert sorted((r.h, r.n, r.total) for r in out.select(F.hour("window.start").alias("h"), "n", "total").collect()) == [(1, 1, 1.0), (5, 3, 9.0)]

@@ -85,6 +85,16 @@ def test_nearest_against_all_pairs(spark):
     assert got == {i: int(np.hypot(*(t - v).T).argmin()) for i, v in enumerate(p)}
 
 
+def test_nearest_of_far_and_missing_points(spark):
+    """Every point has a row: far ones find their target, those with a missing coordinate have nulls."""
+    p = [(1, 0.0), (2, 1e7), (3, None), (4, float("nan")), (5, -3e5), (1, 0.0)]
+    a, schema = spark.createDataFrame(p, "p long, x double"), "t long, x double"
+    run = lambda t: sorted(((r.p, r.t, r.distance) for r in joins.nearest(a, spark.createDataFrame(t, schema), "p", "t", ["x"], 1.0).collect()), key=str)
+    one = [(1, 7, 5.0), (2, 7, 9999995.0), (3, None, None), (4, None, None), (5, 8, 299997.0)]
+    assert run([(7, 5.0), (9, 5.0), (8, -3.0 - 0.0), (6, None)]) == sorted([(1, 8, 3.0), *one[1:]], key=str)
+    assert run([]) == sorted([(k, None, None) for k in (1, 1, 2, 3, 4, 5)], key=str)
+
+
 def test_surface_lookup_clamps(spark):
     s = spark.createDataFrame([(i, j, float(i + 10 * j)) for i in range(3) for j in range(2)], "gx int, gy int, z double")
     p = spark.createDataFrame([(0.5, 0.5), (-3.0, 0.0), (9.0, 9.0), (2.0, 1.0)], "x double, y double")
