@@ -195,14 +195,14 @@ def fit(rows) -> dict:
 def orders(counted: DataFrame) -> DataFrame:
     """``kind, order, gram, context, n`` of every order of the models, from what :func:`_counted` gives."""
     names = [c.split()[0] for c in _COUNTS.split(", ")][2:-1]
-    whole = materialise(counted.groupBy("kind", "gram").agg(F.min(F.struct(*names)).alias("f"), F.sum("n").alias("n")), "grams")
-    top = whole.filter("kind < 2").select("kind", F.lit(5).alias("order"), "gram", F.col("f.context").alias("context"), "n")
-    one_up = whole.groupBy("kind", F.col("f.suffix").alias("gram")).agg(F.min(F.struct("f.suffix_context", "f.low", "f.low_context", "f.unit")).alias("f"), F.count("*").alias("n"))
-    one_up = materialise(one_up, "suffixes")
-    low = one_up.filter("kind = 2").groupBy("kind", F.col("f.low").alias("gram")).agg(F.min(F.struct("f.low_context", "f.unit")).alias("f"), F.count("*").alias("n"))
-    unit = low.groupBy("kind", F.col("f.unit").alias("gram")).agg(F.count("*").alias("n"))
-    out = top.unionByName(one_up.select("kind", F.when(F.col("kind") < 2, 4).otherwise(3).alias("order"), "gram", F.col("f.suffix_context").alias("context"), "n"))
-    out = out.unionByName(low.select("kind", F.lit(2).alias("order"), "gram", F.col("f.low_context").alias("context"), "n"))
+    # an n-gram's key decides its other fields, so all are grouped by: numbers alone, which need no sort
+    whole = materialise(counted.groupBy("kind", "gram", *names).agg(F.sum("n").alias("n")), "grams")
+    top = whole.filter("kind < 2").select("kind", F.lit(5).alias("order"), "gram", "context", "n")
+    one_up = materialise(whole.groupBy("kind", *names[1:]).agg(F.count("*").alias("n")), "suffixes")
+    low = one_up.filter("kind = 2").groupBy("kind", "low", "low_context", "unit").agg(F.count("*").alias("n"))
+    unit = low.groupBy("kind", F.col("unit").alias("gram")).agg(F.count("*").alias("n"))
+    out = top.unionByName(one_up.select("kind", F.when(F.col("kind") < 2, 4).otherwise(3).alias("order"), F.col("suffix").alias("gram"), F.col("suffix_context").alias("context"), "n"))
+    out = out.unionByName(low.select("kind", F.lit(2).alias("order"), F.col("low").alias("gram"), F.col("low_context").alias("context"), "n"))
     out = materialise(out.unionByName(unit.select("kind", F.lit(1).alias("order"), "gram", F.lit(0).cast("long").alias("context"), "n")), "orders")
     release(whole, one_up)
     return out
