@@ -54,7 +54,7 @@ def test_one_class_or_none(spark):
 
 
 def test_words_are_distributions():
-    """Over all next characters the probability of each model sums to one, as Kneser-Ney's does."""
+    """What the model knows is likelier than what it does not, and models of equal counts say the same."""
     words = ["abab", "abba", "baab"]
     import pyarrow as pa
 
@@ -77,6 +77,73 @@ def test_words_are_distributions():
     assert np.allclose(toxicity.word_ratios(model, words), 0)
 
 
+def brute_force(classes, corpus):
+    """P(next character | four before) of each class, from counts of strings in dictionaries."""
+    from collections import Counter
+
+    def grams(words, order):
+        return Counter(("\x02" * 4 + w + "\x03")[i - order + 1 : i + 1] for w in words for i in range(4, len(w) + 5))
+
+    def continued(counts):
+        return Counter(g[1:] for g in set(counts))
+
+    def interpolated(counts, lower):
+        totals, types = Counter(), Counter()
+        for g, n in counts.items():
+            totals[g[:-1]] += n
+            types[g[:-1]] += 1
+
+        def p(context, c):
+            h = context[len(context) - len(next(iter(counts))) + 1 :]
+            if h not in totals:
+                return lower(context, c)
+            left = min(toxicity.DISCOUNT * types[h] / totals[h], 1)
+            return max(counts[h + c] - toxicity.DISCOUNT, 0) / totals[h] + left * lower(context, c)
+
+        return p
+
+    three = continued(grams(set(corpus), 4))
+    shared = lambda context, c: 1 / toxicity.CHARACTERS
+    for counts in (continued(continued(three)), continued(three), three):
+        shared = interpolated(counts, shared)
+    tops = [grams(words, 5) for words in classes]
+    return [interpolated(top, interpolated(continued(top), shared)) for top in tops], set("".join(corpus)) | {"\x03"}
+
+
+def test_kneser_ney_against_brute_force(spark):
+    """Ratios of known and unknown words equal those of a model of dictionaries, whose probabilities sum to one."""
+    g = np.random.default_rng(7)
+    docs = [(i, " ".join("".join(g.choice(list("abcdé"), g.integers(1, 8))) for _ in range(12))) for i in range(30)]
+    known = {i: i % 2 for i in range(20)}
+    own = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = toxicity.orders(own.mapInArrow(toxicity._counted(spark.sparkContext.broadcast(known)), toxicity._COUNTS))
+    texts = dict(docs)
+    classes = [[w for i, c in known.items() if c == kind for w in texts[i].split()] for kind in (0, 1)]
+    models, alphabet = brute_force(classes, [w for t in texts.values() for w in t.split()])
+    words = sorted({w for t in texts.values() for w in t.split()})[::7] + ["a", "zz", "abcdeabcde", "éz", "b" * 30]
+    want = []
+    for w in words:
+        line = "\x02" * 4 + w + "\x03"
+        want.append(sum(np.log(models[1](line[i - 4 : i], line[i]) / models[0](line[i - 4 : i], line[i])) for i in range(4, len(line))))
+    assert np.allclose(toxicity.word_ratios(toxicity.collected(found), words), want, atol=1e-9) and np.ptp(want) > 1
+    for p in models:
+        for context in ("\x02" * 4, "\x02\x02ab", "abcd", "zzzz", "\x02aéb"):
+            rest = (toxicity.CHARACTERS - len(alphabet)) * p(context, "z")
+            assert abs(sum(p(context, c) for c in alphabet) + rest - 1) < 1e-9
+
+
+def test_words_in_marks_count_as_their_own(spark):
+    """A word has one ratio whatever marks are around it, also after the memo was emptied; marks alone have none."""
+    docs, labels = corpus(60)
+    own = spark.createDataFrame(docs, "doc_id long, text string")
+    classes = spark.sparkContext.broadcast({i: c for i, c in labels})
+    evidence = toxicity.Evidence(toxicity.collected(toxicity.orders(own.mapInArrow(toxicity._counted(classes), toxicity._COUNTS))))
+    plain, marked, marks = evidence(["scum tha idiot", '"scum," (tha) *idiot*', "... !!"])
+    assert np.array_equal(plain, marked) and not marks.any() and plain.any()
+    evidence.memo.update({f"w{k}": 0.0 for k in range(toxicity.MEMO_WORDS)})
+    assert np.array_equal(evidence(["(tha) scum! idiot"])[0], plain) and len(evidence.memo) < 100
+
+
 def test_counts_grow_with_the_corpus(spark):
     """Every n-gram has its own count, however many there are, as in strings."""
     from collections import Counter
