@@ -305,11 +305,12 @@ class Evidence:
             memo.clear()
         new = list({w for d in docs for w in d if w not in memo})
         inner = [w.strip(AROUND) for w in new]
-        known = [i for i, w in enumerate(inner) if w]
-        memo.update(dict.fromkeys(new, 0.0))
-        for b in range(0, len(known), 8_000):
-            some = known[b : b + 8_000]
-            memo.update(zip([new[i] for i in some], word_ratios(self.tables, [inner[i] for i in some]).tolist()))
+        memo[""] = 0.0
+        unseen = [w for w in set(inner) if w not in memo]  # many words differ only in what is around them
+        for b in range(0, len(unseen), 8_000):
+            some = unseen[b : b + 8_000]
+            memo.update(zip(some, word_ratios(self.tables, some).tolist()))
+        memo.update(zip(new, map(memo.__getitem__, inner)))
         out = np.zeros((len(docs), len(FEATURES)))
         for i, d in enumerate(docs):
             if d:
