@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def missing_to_null(v: Column) -> Column:
     return F.nullif(v.cast("double"), F.lit(float("nan")))
 
 
+def logarithm(v: Column, log: Callable[[Column], Column] = F.log) -> Column:
+    """Minus infinity of 0 and NaN of less, where Spark's own logarithms (``log``) are null."""
+    return F.when(v == 0, F.lit(float("-inf"))).when(v < 0, F.lit(float("nan"))).otherwise(log(v))
+
+
 def skewness(v: Column) -> Column:
     """Bias-corrected skewness; null for fewer than three values or no spread."""
     n = F.count(v).cast("double")

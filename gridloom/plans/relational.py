@@ -609,7 +609,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, t = F.col("value"), F.col("event_type")
     return table(spark, sf_dir, "events").select(
         "event_id", F.floor(v).alias("lo"), F.ceil(v).alias("hi"), F.round(v).alias("whole"), (F.col("event_id") % 7).cast("long").alias("rest"), F.round(F.sqrt(v), 6).alias("root"), F.round(F.pow(v, F.lit(1.5)), 4).alias("power_"),
-        F.round(F.exp(-v / 100), 6).alias("e"), F.round(F.log(v), 6).alias("ln_"), F.round(F.log2(v), 6).alias("log2_"), F.round(F.least(v, F.lit(100.0)), 6).alias("least_"), F.round(F.greatest(v, F.lit(100.0)), 6).alias("greatest_"),
+        F.round(F.exp(-v / 100), 6).alias("e"), F.round(stats.logarithm(v), 6).alias("ln_"), F.round(stats.logarithm(v, F.log2), 6).alias("log2_"), F.round(F.least(v, F.lit(100.0)), 6).alias("least_"), F.round(F.greatest(v, F.lit(100.0)), 6).alias("greatest_"),
         F.round(F.cos(F.radians(v)), 6).alias("cos_"), F.round(F.sin(F.radians(v)), 6).alias("sin_"), F.lower(t).alias("low"), F.replace(t, F.lit("c"), F.lit("k")).alias("replaced"), t.startswith("c").alias("starts"), t.endswith("k").alias("ends"),
         t.contains("r").alias("has_r"), F.concat_ws("_", t, F.col("event_id").cast("string")).alias("name"), F.round(255 * F.least(F.greatest(v / 400, F.lit(0.0)), F.lit(1.0))).cast("int").alias("byte"),
         F.substring(t, 1, 1).try_cast("double").alias("number"), F.round(stats.missing_to_null(F.when(v > 250, F.lit(float("nan"))).otherwise(v)), 2).alias("missing"),

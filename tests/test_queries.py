@@ -49,3 +49,16 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_scalar_functions_of_odd_values(spark, tmp_path):
+    """Logarithms of zero and of less than zero are those of the SQL."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, v AS value, 'click' AS event_type FROM (VALUES (1, 0.0::DOUBLE), (2, -0.0), (3, -2.5), (4, NULL), (5, 8.0)) t(i, v)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    df = entry.queries()["scalar_functions"](spark, str(tmp_path))
+    names = ["event_id", "ln_", "log2_", "root", "power_", "e", "lo", "hi", "byte", "missing"]
+    got = sorted(tuple(map(plain, r)) for r in df.select(*names).collect())
+    want = sorted(tuple(map(plain, r)) for r in con.sql(f"SELECT {', '.join(names)} FROM ({ORACLES['scalar_functions']})").fetchall())
+    assert got == want
+    assert [r[1:3] for r in got] == [(-math.inf, -math.inf), (-math.inf, -math.inf), ("nan", "nan"), (None, None), (2.079442, 3.0)]
