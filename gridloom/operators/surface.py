@@ -20,6 +20,61 @@ from gridloom.operators import binning
 #: A surface with more bins than this is refused: its image should be cut.
 MOST_BINS = 200_000
 KINDS = ("lowess", "lar", "bisquare", "median")
+#: Up to as many points, each place meets all of them; above, leaves of a k-d tree hold so many.
+DENSE, LEAF = 512, 24
+#: Places have lists of their own if no more points than this are as near as the last of the nearest; so many leaves are fitted at once.
+TIES, TOGETHER = 16, 32
+
+
+def _leaves(x: np.ndarray, y: np.ndarray, most: int) -> list[np.ndarray]:
+    """Points by the leaves of a k-d tree, which hold at most so many each."""
+    done, left = [], [np.arange(len(x))]
+    while left:
+        rows = left.pop()
+        if len(rows) <= most:
+            done.append(rows)
+            continue
+        v = max((x[rows], y[rows]), key=np.ptp)
+        rows, half = rows[np.argpartition(v, len(rows) // 2)], len(rows) // 2
+        left += [rows[half:], rows[:half]]
+    return done
+
+
+def _boxes(x: np.ndarray, y: np.ndarray, leaves: list[np.ndarray]) -> np.ndarray:
+    """Left, right, top and bottom of each leaf."""
+    return np.array([(x[r].min(), x[r].max(), y[r].min(), y[r].max()) for r in leaves]).T
+
+
+def neighbourhoods(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places in groups, with points that hold the ``k`` nearest of each place and what is as near as these: one list for
+    the group, or one for each of its places."""
+    if len(px) == 0:
+        return []
+    if len(x) <= DENSE or k > len(x) // 8:
+        return [(np.arange(a, min(a + 256, len(px))), np.arange(len(x))) for a in range(0, len(px), 256)]
+    leaves, groups, few, out = _leaves(x, y, LEAF), _leaves(px, py, LEAF), [], []
+    size, (left, right, top, bottom) = np.array([len(r) for r in leaves]), _boxes(x, y, leaves)
+    for rows, (l, r, t, b) in zip(groups, _boxes(px, py, groups).T):
+        # near leaves of k points bound every place's reach, and no leaf beyond it has a nearer point
+        most = np.hypot(np.maximum(right - l, r - left), np.maximum(bottom - t, b - top))
+        enough = np.argpartition(most, min(k, len(most) - 1))[: k + 1]
+        enough = enough[np.argsort(most[enough])]
+        some = np.concatenate([leaves[i] for i in enough[: np.searchsorted(np.cumsum(size[enough]), k) + 1]])
+        apart = np.hypot(x[None, some] - px[rows, None], y[None, some] - py[rows, None])
+        reach = np.partition(apart, k - 1, axis=1)[:, k - 1].max() * 1.000001
+        least = np.hypot(np.maximum(0, np.maximum(left - r, l - right)), np.maximum(0, np.maximum(top - b, t - bottom)))
+        near = np.concatenate([leaves[i] for i in np.flatnonzero(least <= reach)])
+        apart = np.hypot(x[None, near] - px[rows, None], y[None, near] - py[rows, None])
+        if len(near) > k + TIES:
+            order = np.argpartition(apart, (k - 1, k + TIES), axis=1)[:, : k + TIES + 1]
+            apart = np.take_along_axis(apart, order, axis=1)
+            if (apart[:, -1] > apart[:, k - 1] * 1.000001).all():
+                few.append((rows, near[order[:, :-1]].astype(np.int32)))
+                continue
+        out.append((rows, near))
+    for a in range(0, len(few), TOGETHER):
+        out.append(tuple(map(np.concatenate, zip(*few[a : a + TOGETHER]))))
+    return out
 
 
 def lowess(x: np.ndarray, y: np.ndarray, z: np.ndarray, span: float, at: tuple[np.ndarray, np.ndarray] | None = None, robust: str = "bisquare", rounds: int = 5) -> np.ndarray:
@@ -29,30 +84,44 @@ def lowess(x: np.ndarray, y: np.ndarray, z: np.ndarray, span: float, at: tuple[n
     k = int(min(n, max(3, np.ceil(span * n))))
     trust = np.ones(n)
 
-    def fit(px: np.ndarray, py: np.ndarray) -> np.ndarray:
-        out = np.empty(len(px))
-        for a in range(0, len(px), 256):
-            dx, dy = x[None, :] - px[a : a + 256, None], y[None, :] - py[a : a + 256, None]
-            d = np.sqrt(dx * dx + dy * dy)
-            reach = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-            w = np.clip(1 - (d / np.maximum(reach * 1.0000001, 1e-12)) ** 3, 0, None) ** 3 * trust
-            w = np.where(w.sum(1, keepdims=True) > 0, w, np.exp(-((d / np.maximum(reach, 1e-12)) ** 2)))
-            one = np.ones_like(dx)
-            design = np.stack([one, dx, dy], axis=-1)
-            normal = np.einsum("pn,pni,pnj->pij", w, design, design)
-            scale = np.trace(normal, axis1=1, axis2=2)[:, None, None]
-            normal = normal + 1e-10 * scale * np.eye(3)
-            right = np.einsum("pn,pni,n->pi", w, design, z)
-            out[a : a + 256] = np.linalg.solve(normal, right[..., None])[:, 0, 0]
+    def local(px: np.ndarray, py: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at places, and where no point that is near has any weight."""
+        dx, dy = x[near] - px[:, None], y[near] - py[:, None]
+        d = np.sqrt(dx * dx + dy * dy)
+        reach = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        w = np.clip(1 - (d / np.maximum(reach * 1.0000001, 1e-12)) ** 3, 0, None) ** 3 * trust[near]
+        bare = w.sum(1) <= 0
+        if bare.any():
+            w = np.where(bare[:, None], np.exp(-((d / np.maximum(reach, 1e-12)) ** 2)), w)
+        wx, wy, wz = w * dx, w * dy, w * z[near]
+        sums = [w.sum(1), wx.sum(1), wy.sum(1), (wx * dx).sum(1), (wx * dy).sum(1), (wy * dy).sum(1)]
+        normal = np.stack([sums[i] for i in (0, 1, 2, 1, 3, 4, 2, 4, 5)], axis=-1).reshape(-1, 3, 3)
+        scale = np.trace(normal, axis1=1, axis2=2)[:, None, None]
+        normal = normal + 1e-10 * scale * np.eye(3)
+        right = np.stack([wz.sum(1), (wz * dx).sum(1), (wz * dy).sum(1)], axis=-1)
+        return np.linalg.solve(normal, right[..., None])[:, 0, 0], bare
+
+    def fit(px: np.ndarray, py: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        out, every = np.empty(len(px)), np.arange(n)
+        for rows, near in groups:
+            out[rows], bare = local(px[rows], py[rows], near)
+            if bare.any() and near.shape[-1] < n:  # the weights of these reach all points
+                for one in np.array_split(rows[bare], -(-int(bare.sum()) // 8)):
+                    out[one] = local(px[one], py[one], every)[0]
         return out
 
-    for _ in range(rounds if robust in ("bisquare", "lar") else 0):
-        error = np.abs(z - fit(x, y))
-        middle = np.median(error)
-        if middle <= 1e-12:
-            break
-        trust = np.clip(1 - (error / (6 * middle)) ** 2, 0, None) ** 2 if robust == "bisquare" else 1 / np.maximum(error / middle, 1.0)
-    return fit(*(at or (x, y)))
+    if robust in ("bisquare", "lar"):
+        own = neighbourhoods(x, y, x, y, k)
+        for _ in range(rounds):
+            error = np.abs(z - fit(x, y, own))
+            middle = np.median(error)
+            if middle <= 1e-12:
+                break
+            trust = np.clip(1 - (error / (6 * middle)) ** 2, 0, None) ** 2 if robust == "bisquare" else 1 / np.maximum(error / middle, 1.0)
+        if at is None:
+            return fit(x, y, own)
+    px, py = at or (x, y)
+    return fit(px, py, neighbourhoods(x, y, px, py, k))
 
 
 def smooth(x: np.ndarray, y: np.ndarray, z: np.ndarray, radius: float, kind: str = "bisquare") -> np.ndarray:

@@ -124,3 +124,34 @@ def test_stripe_fit_reads_all_objects(spark, monkeypatch):
     monkeypatch.setattr(rasters.surface, "fit_stripe", lambda points, *a: read.append(points.count()) or fit(points, *a))
     assert rasters.stripe_fit(spark, "").count() > 0
     assert read == [1000]
+
+
+def test_lowess_meets_few_points_and_gives_the_fit_of_all(spark):
+    """Of many points each place meets those near it, which changes no weight; equal distances and outliers included."""
+    g = np.random.default_rng(6)
+    x, y = (v.ravel().astype(float) for v in np.meshgrid(np.arange(40), np.arange(40)))
+    x, y = np.r_[x, g.normal(7, 0.01, 200)], np.r_[y, g.normal(9, 0.01, 200)]
+    z = 1 + 0.02 * x + g.normal(0, 0.05, len(x))
+    z[::17] += 3
+    z[(x < 6) & (y < 4)] += 40 * g.random(int(((x < 6) & (y < 4)).sum()))
+    k, trust = 20, np.ones(len(x))
+
+    def one(px, py):
+        dx, dy = x - px, y - py
+        d = np.hypot(dx, dy)
+        reach = np.sort(d)[k - 1]
+        w = np.clip(1 - (d / (reach * 1.0000001)) ** 3, 0, None) ** 3 * trust
+        w = w if w.sum() > 0 else np.exp(-((d / reach) ** 2))
+        design = np.stack([np.ones_like(dx), dx, dy], axis=-1)
+        normal = design.T @ (w[:, None] * design)
+        return np.linalg.solve(normal + 1e-10 * np.trace(normal) * np.eye(3), design.T @ (w * z))[0]
+
+    for rounds in range(3):
+        want = np.array([one(*p) for p in zip(x, y)])
+        assert np.allclose(surface.lowess(x, y, z, k / len(x), rounds=rounds), want, atol=1e-6)
+        error = np.abs(z - want)
+        trust = np.clip(1 - (error / (6 * np.median(error))) ** 2, 0, None) ** 2
+    x, y = g.random(20_000), g.random(20_000)
+    met = surface.neighbourhoods(x, y, x, y, k)
+    assert sorted(np.concatenate([rows for rows, _ in met])) == list(range(len(x)))
+    assert sum(len(rows) * near.shape[-1] for rows, near in met) < 3 * k * len(x)
