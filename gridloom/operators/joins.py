@@ -59,10 +59,31 @@ def boxes_to_tiles(boxes: DataFrame, tile: tuple[int, int], tiles_across: int, l
     return spread.withColumn("tile_id", F.col("ty") * F.lit(tiles_across) + F.col("tx"))
 
 
+def _neighbours_in_order(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """Nearest targets (_t, _b0) of points (_p, _a0) on a line, none of them missing, as (_p, _t, _d).
+
+    Distinct values are sorted in ranges; a value's nearest targets are the last before it and the first behind it, in its
+    own range or in those around it. So work grows with the rows, however crowded they lie.
+    """
+    values = targets.select(F.col("_b0").alias("v"), F.col("_t").alias("t")).unionByName(points.select(F.col("_a0").alias("v"), F.lit(None).cast(targets.schema["_t"].dataType).alias("t")))
+    ranges = values.groupBy("v").agg(F.min("t").alias("t")).repartitionByRange("v").withColumn("_r", F.spark_partition_id())
+    ranges = written(ranges.withColumn("s", F.when(F.col("t").isNotNull(), F.struct("v", "t"))).select("v", "s", "_r"), "ranges")
+    up_to = lambda w, c, end: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, end))
+    ends = ranges.groupBy("_r").agg(F.min("s").alias("first"), F.max("s").alias("last"))  # a row a range
+    ends = ends.select("_r", up_to(Window.orderBy("_r"), "last", -1).alias("before"), up_to(Window.orderBy(F.desc("_r")), "first", -1).alias("behind"))
+    own = Window.partitionBy("_r")
+    around = ranges.select("v", "_r", up_to(own.orderBy("v"), "s", 0).alias("low"), up_to(own.orderBy(F.desc("v")), "s", 0).alias("high")).join(F.broadcast(ends), "_r")
+    sides = [F.coalesce("low", "before"), F.coalesce("high", "behind")]
+    best = F.least(*(F.when(s.isNotNull(), F.struct(F.abs(F.col("v") - s["v"]).alias("d"), s["t"].alias("t"))) for s in sides))
+    best = written(around.select(F.col("v").alias("_a0"), best.alias("m")), "nearest")
+    return points.join(best, "_a0").groupBy("_p").agg(F.min("m").alias("m")).select("_p", F.col("m.t").alias("_t"), F.col("m.d").alias("_d"))
+
+
 def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, coordinates: list[str], cell: float) -> DataFrame:
     """``point_id, target_id, distance`` of each point's nearest target; of equals the least id.
 
-    Points meet targets of the cells around their own by an equi-join. What is found within one cell's width is certain;
+    On a line, neighbours in order are compared. Elsewhere points meet targets (one of each place) of the cells around their
+    own by an equi-join. What is found within one cell's width is certain;
     the other points go on with wider cells, at once with such as reach the box of all targets, until a cell is as wide as
     all that is left of both. Each round is written, so that none is computed again. A point with a missing coordinate,
     and every point where there is no target, has nulls; targets with a missing coordinate are left out.
@@ -74,6 +95,11 @@ def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str
     left = every.filter(known("_a"))
     box = there.agg(F.count("*").alias("n"), *(f(f"_b{k}").alias(f"{n}{k}") for k in dims for n, f in (("low", F.min), ("high", F.max)))).first()
     none = every.filter(~known("_a") if box.n else F.lit(True)).select("_p", F.lit(None).cast(there.schema["_t"].dataType).alias("_t"), F.lit(None).cast("double").alias("_d"))
+    if box.n and len(coordinates) == 1:
+        found = none.unionByName(_neighbours_in_order(left, there))
+        return found.select(F.col("_p").alias(point_id), F.col("_t").alias(target_id), F.col("_d").alias("distance"))
+    if box.n:
+        there = written(there.groupBy(*(f"_b{k}" for k in dims)).agg(F.min("_t").alias("_t")), "places")
     found, step, r = none, F.array(F.lit(-1), F.lit(0), F.lit(1)), 0
     gap = [F.greatest(F.lit(box[f"low{k}"]) - F.col(f"_a{k}"), F.col(f"_a{k}") - F.lit(box[f"high{k}"]), F.lit(0.0)) for k in dims] if box.n else []
     far = [F.greatest(F.abs(F.col(f"_a{k}") - F.lit(box[f"low{k}"])), F.abs(F.col(f"_a{k}") - F.lit(box[f"high{k}"]))) for k in dims] if box.n else []

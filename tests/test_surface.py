@@ -155,3 +155,20 @@ def test_lowess_meets_few_points_and_gives_the_fit_of_all(spark):
     met = surface.neighbourhoods(x, y, x, y, k)
     assert sorted(np.concatenate([rows for rows, _ in met])) == list(range(len(x)))
     assert sum(len(rows) * near.shape[-1] for rows, near in met) < 3 * k * len(x)
+
+
+def test_nearest_of_crowds_compares_neighbours_only(spark):
+    """A crowd in one cell costs no pairs: 20,000 points by 20,000 targets, many of equal places, and empty ranges between."""
+    g = np.random.default_rng(7)
+    t = np.r_[np.round(g.random(15_000) * 3, 3), np.full(5_000, 1.5)]
+    p = np.r_[np.round(g.random(18_000) * 3, 4), -g.random(1000) * 100, 50 + g.random(1000)]
+    a = spark.createDataFrame(list(enumerate(map(float, p))), "p long, x double")
+    b = spark.createDataFrame([(i, float(v)) for i, v in enumerate(t)], "t long, x double")
+    df = joins.nearest(a, b, "p", "t", ["x"], 0.0)  # no cells on a line
+    got = {r.p: (r.t, r.distance) for r in df.collect()}
+    places, first = np.unique(t, return_index=True)
+    for i, v in enumerate(p):
+        k = np.searchsorted(places, v)
+        near = [(abs(v - places[j]), int(first[j])) for j in (k - 1, k) if 0 <= j < len(places)]
+        assert got[i] == min(near)[::-1]
+    assert len(got) == len(p)
