@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.sources.scratch import written
+
 
 #: Ranges of value in which the ranks of a whole table are formed.
 RANGES = 1024
@@ -65,7 +67,8 @@ def hazen(df: DataFrame, keys: list[str], value: str, shares: dict[str, float],
     span = [F.min("_v").alias("_low"), F.max("_v").alias("_high")]
     ranges = RANGES_OF_KEY if keys else RANGES
     if keys:
-        spans = rows.select(*keys, v.alias("_v")).filter("_v is not null").groupBy(*keys).agg(*span)
+        # written, so that the spans of few keys are sent to the values instead of all values of a key to one task
+        spans = written(rows.select(*keys, v.alias("_v")).filter("_v is not null").groupBy(*keys).agg(*span), "spans")
         spanned, low, high = counted.join(spans, keys), F.col("_low"), F.col("_high")
     else:
         both = counted.agg(F.struct(*span)).scalar()

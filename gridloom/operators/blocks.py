@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import stats
+from gridloom.sources.scratch import written
 
 LEVELS = 256
 
@@ -21,7 +22,7 @@ def otsu(df: DataFrame, keys: list[str], value: str, scale: str = "linear") -> D
         raise ValueError(f"no such scale: {scale}")
     v = stats.missing_to_null(F.col(value))
     rows = df.select(*keys, v.alias("_v")).filter("_v is not null")
-    spans = rows.groupBy(*keys).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+    spans = written(rows.groupBy(*keys).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx")), "spans")
     joined = rows.join(spans, keys)
     level = F.round(F.lit(float(LEVELS - 1)) * F.try_divide(F.col("_v") - F.col("_mn"), F.col("_mx") - F.col("_mn"))) + 1
     counts = joined.groupBy(*keys, F.coalesce(level, F.lit(1.0)).alias("_k")).agg(F.count("*").alias("_c"), F.first("_mn").alias("_mn"), F.first("_mx").alias("_mx"))

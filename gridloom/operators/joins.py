@@ -128,8 +128,9 @@ def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str
 
 
 def with_group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column]) -> DataFrame:
-    """Adds an object's aggregates to its rows. Aggregated before the join, so a large object is not held as one window."""
-    return df.join(df.groupBy(*keys).agg(*(c.alias(n) for n, c in stats.items())), keys)
+    """Adds an object's aggregates to its rows. Aggregated and written before the join: a large object is not held as one
+    window, and where objects are few, their aggregates are sent to the rows, which else met in a task for each object."""
+    return df.join(written(df.groupBy(*keys).agg(*(c.alias(n) for n, c in stats.items())), "aggregates"), keys)
 
 
 def member_of(df: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:

@@ -172,3 +172,15 @@ def test_nearest_of_crowds_compares_neighbours_only(spark):
         near = [(abs(v - places[j]), int(first[j])) for j in (k - 1, k) if 0 <= j < len(places)]
         assert got[i] == min(near)[::-1]
     assert len(got) == len(p)
+
+
+def test_rows_of_few_blocks_are_not_dealt_by_block(spark):
+    """Aggregates of few keys go to the rows; no exchange puts all rows of a key into one task."""
+    df = spark.range(3000).selectExpr("id % 3 AS k", "CAST(id AS double) AS v")
+    with_mean = joins.with_group_stats(df, ["k"], {"m": F.avg("v")})
+    plans = [with_mean, stats.hazen(df, ["k"], "v", {"z": 0.5}), blocks.otsu(df, ["k"], "v")]
+    for p in plans:
+        plan = p._jdf.queryExecution().executedPlan().toString()
+        for line in plan.splitlines():
+            assert "SortMergeJoin [k#" not in line or "_p#" in line or "LeftOuter" in line, line
+    assert {(r.k, r.m) for r in with_mean.select("k", "m").distinct().collect()} == {(0, 1498.5), (1, 1499.5), (2, 1500.5)}
