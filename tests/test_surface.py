@@ -175,12 +175,17 @@ def test_nearest_of_crowds_compares_neighbours_only(spark):
 
 
 def test_rows_of_few_blocks_are_not_dealt_by_block(spark):
-    """Aggregates of few keys go to the rows; no exchange puts all rows of a key into one task."""
-    df = spark.range(3000).selectExpr("id % 3 AS k", "CAST(id AS double) AS v")
-    with_mean = joins.with_group_stats(df, ["k"], {"m": F.avg("v")})
-    plans = [with_mean, stats.hazen(df, ["k"], "v", {"z": 0.5}), blocks.otsu(df, ["k"], "v")]
-    for p in plans:
-        plan = p._jdf.queryExecution().executedPlan().toString()
-        for line in plan.splitlines():
-            assert "SortMergeJoin [k#" not in line or "_p#" in line or "LeftOuter" in line, line
-    assert {(r.k, r.m) for r in with_mean.select("k", "m").distinct().collect()} == {(0, 1498.5), (1, 1499.5), (2, 1500.5)}
+    """Aggregates of few keys go to the rows, also of tables too large to be sent; else all rows of a key met in one task."""
+    df = spark.range(100_000).selectExpr("id % 3 AS k", "CAST(id AS double) AS v")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        with_mean = joins.with_group_stats(df, ["k"], {"m": F.avg("v")})
+        plans = [p._jdf.queryExecution().executedPlan().toString() for p in (with_mean, stats.hazen(df, ["k"], "v", {"z": 0.5}), blocks.otsu(df, ["k"], "v"))]
+        means = {(r.k, r.m) for r in with_mean.select("k", "m").distinct().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for plan in plans:
+        by_key = [line for line in plan.splitlines() if "SortMergeJoin [k#" in line and "_p#" not in line and "LeftOuter" not in line]
+        assert not by_key, by_key
+    assert {k for k, _ in means} == {0, 1, 2} and all(abs(m - 49_999.5) < 2 for _, m in means)
