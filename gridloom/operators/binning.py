@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import grid, stats
+from gridloom.sources.scratch import written
 
 #: Reducers that are plain aggregates of a bin's values.
 SIMPLE: dict[str, Callable[[Column], Column]] = {
@@ -147,7 +148,8 @@ def low_band_mean(df: DataFrame, keys: list[str], value: str, shares: tuple[floa
     positive = df.filter(v > 0).withColumn("_v", v)
     limits = stats.hazen(positive, keys, "_v", {"_lo": shares[0], "_hi": shares[1]})
     if keys:
-        rows, low, high = positive.join(limits, keys), F.col("_lo"), F.col("_hi")
+        # written, so that the limits of not too many keys are sent to the rows instead of all rows to their keys
+        rows, low, high = positive.join(written(limits, "limits"), keys), F.col("_lo"), F.col("_hi")
     else:
         both = limits.select(F.struct("_lo", "_hi")).scalar()
         rows, low, high = positive, both["_lo"], both["_hi"]

@@ -96,11 +96,14 @@ def reference_corrections(objects: DataFrame, size: tuple[float, float], grid: t
 
 
 def channel_corrections(objects: DataFrame, size: tuple[float, float], grid: tuple[np.ndarray, np.ndarray], stripe_width: float | None = None, x: str = "x", y: str = "y", value: str = "v", per_bin: int = PER_BIN) -> tuple[np.ndarray, np.ndarray | None]:
-    """The surface of a channel's low values (the mean between the 2nd and 4th percentile of each bin) and its stripe."""
-    n = objects.count()
-    width = bin_width(n, size[0] * size[1], per_bin)
-    now = objects.withColumn("_c", F.col(value).cast("double"))
+    """The surface of a channel's low values (the mean between the 2nd and 4th percentile of each bin) and its stripe.
+
+    The objects' places and values are written, so that they are computed once for all steps.
+    """
     at = F.col(x).cast("double"), F.col(y).cast("double")
+    now = written(objects.select(at[0].alias(x), at[1].alias(y), F.col(value).cast("double").alias("_c")), "objects")
+    n = now.count()
+    width = bin_width(n, size[0] * size[1], per_bin)
     flat = decimate_and_smooth(now, x, y, "_c", width, 2.5 * width, "median")
     divided = now.withColumn("_d", F.try_divide("_c", flat.evaluator()(*at)))
     stripe = fit_stripe(divided, x, "_d", 0.05, threshold=1e-2)

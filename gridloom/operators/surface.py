@@ -16,6 +16,7 @@ from pyspark.sql.functions import pandas_udf
 
 from gridloom.functions import kernels, stats
 from gridloom.operators import binning
+from gridloom.sources.scratch import written
 
 #: A surface with more bins than this is refused: its image should be cut.
 MOST_BINS = 200_000
@@ -174,15 +175,17 @@ class Surface:
 def decimate_and_smooth(points: DataFrame, x: str, y: str, z: str, width: float, radius: float, reducer="median", kind: str = "hexagonal", default: float | None = None, smoothing: str = "bisquare", **options) -> Surface:
     """Bins points (hexagonal ones with an origin moved by 0.9 of half a bin), cleans and smooths the bins.
 
-    ``radius`` is that of the smoothing, in the units of x and y.
+    ``radius`` is that of the smoothing, in the units of x and y. The points are written, as reducers read them several
+    times and repeat what computes a value in their expressions; the bins are, so that all tasks give theirs at once.
     """
     shift = 0.9 * width / 2 if kind == "hexagonal" else 0.0
     moved = points.select((F.col(x) - shift).alias("_x"), (F.col(y) - shift).alias("_y"), F.col(z).cast("double").alias("_z"))
+    moved = written(moved, "points")
     bins = reducer(moved) if callable(reducer) and options.pop("of_table", False) else binning.decimate(moved, "_x", "_y", "_z", width, kind, reducer, **options)
-    bins = binning.centres(binning.cleaned(bins, default), width, kind).select("x", "y", "z").limit(MOST_BINS + 1).toPandas()
-    if len(bins) > MOST_BINS:
+    bins = written(binning.centres(binning.cleaned(bins, default), width, kind).select("x", "y", "z"), "bins")
+    if bins.count() > MOST_BINS:
         raise ValueError(f"more than {MOST_BINS} bins; cut the image or widen the bins")
-    bins = bins.sort_values(["y", "x"])
+    bins = bins.toPandas().sort_values(["y", "x"])
     px, py, pz = (bins[c].to_numpy(float) for c in "xyz")
     return Surface(px + shift, py + shift, smooth(px / width, py / width, pz, radius / width, smoothing))
 
@@ -271,7 +274,7 @@ def stripe_frequency(profile: np.ndarray, step: float) -> float | None:
 
 def fit_stripe(points: DataFrame, x: str, z: str, step: float = 0.005, bounds: tuple[float, float] = (0.65, 1.5), threshold: float = 1e-4, most: int = 10) -> Stripe:
     """A periodic factor along x: medians in fine bins show its period, and bins of a quarter of it give the factor."""
-    rows = points.select(F.col(x).cast("double").alias("x"), F.col(z).cast("double").alias("z"))
+    rows = written(points.select(F.col(x).cast("double").alias("x"), F.col(z).cast("double").alias("z")), "rows")
     span = rows.agg(F.min("x"), F.max("x")).first()
     if span[0] is None or span[0] == span[1]:
         return Stripe(np.array([0.0, 1.0]), np.ones(2), None)

@@ -189,3 +189,44 @@ def test_rows_of_few_blocks_are_not_dealt_by_block(spark):
         by_key = [line for line in plan.splitlines() if "SortMergeJoin [k#" in line and "_p#" not in line and "LeftOuter" not in line]
         assert not by_key, by_key
     assert {k for k, _ in means} == {0, 1, 2} and all(abs(m - 49_999.5) < 2 for _, m in means)
+
+
+def test_corrections_compute_values_once(spark):
+    """What gives an object's value is not repeated by the reducers, rounds and steps of a correction."""
+    read, nodes = spark.sparkContext.accumulator(0), np.linspace(1, 9, 5)
+
+    @F.udf("double")
+    def counted(v):
+        read.add(1)
+        return v
+
+    n, low = 6000, lambda t: binning.low_band_mean(binning._binned(t, "_x", "_y", "_z", 2.0, "hexagonal"), ["gx", "gy"], "z")
+    objects = points(spark, n).withColumn("v", counted("v"))
+    steps = [lambda r=r: surface.decimate_and_smooth(objects, "x", "y", "v", 2.0, 5.0, r) for r in ("median", "mode", "mad")]
+    steps += [
+        lambda: surface.decimate_and_smooth(objects, "x", "y", "v", 2.0, 5.0, low, of_table=True),
+        lambda: surface.fit_stripe(objects, "x", "v", 0.05),
+        lambda: corrections.channel_corrections(objects, (10, 10), (nodes, nodes)),
+    ]
+    for i, step in enumerate(steps):
+        before = read.value
+        step()
+        assert read.value - before == n, i
+
+
+def test_low_bands_send_limits_to_the_rows(spark):
+    """Limits of not too many keys go to the rows, which are not dealt by key a second time; the means are numpy's."""
+    df = spark.range(30_000).selectExpr("id % 3 AS k", "CAST(id * 7919 % 30011 - 900 AS double) AS v")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        out = binning.low_band_mean(df, ["k"], "v")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.k: r.z for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    for k in range(3):
+        v = np.array([i * 7919 % 30011 - 900 for i in range(k, 30_000, 3)], float)
+        low, high = np.percentile(v[v > 0], [2, 4], method="hazen")
+        assert np.isclose(got[k], v[(v > 0) & (v >= low) & (v <= high)].mean())
